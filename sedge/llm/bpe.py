@@ -51,23 +51,23 @@ def cut(text: str) -> list[str]:
     return text.replace(" ", "\0 ").split("\0")
 
 
-class ChunkTable(dict):
+class ChunkTable:
     """Values of chunks, kept between batches; once it is full, new ones stay for their batch only."""
 
     def __init__(self, bound: int):
-        super().__init__()
+        self.table: dict[str, object] = {}
         self.bound, self.guests = bound, []
 
     def missing(self, cuts: list[list[str]]) -> list[str]:
         for chunk in self.guests:
-            del self[chunk]
+            del self.table[chunk]
         self.guests = []
-        return list(set().union(*cuts).difference(self))
+        return list(set().union(*cuts).difference(self.table))
 
     def put(self, chunk: str, value) -> None:
-        if len(self) >= self.bound or len(chunk) > 64:
+        if len(self.table) >= self.bound or len(chunk) > 64:
             self.guests.append(chunk)
-        self[chunk] = value
+        self.table[chunk] = value
 
 
 class ByteBPE:
@@ -181,13 +181,12 @@ class ByteBPE:
         for text in texts:
             special = self.special and any(s in text for s in self.special)
             cuts.append([c for part in (self.split_special.split(text) if special else [text]) for c in ([part] if part in self.special else cut(part)) if c])
-        table = self.chunks
-        missing = table.missing(cuts)
+        missing, table, put = self.chunks.missing(cuts), self.chunks.table, self.chunks.put
         tokens = self.tokens
         for chunk, ids in zip(missing, self.plain(missing)):
             if chunk in self.special:
                 ids = [self.special[chunk]]
-            table.put(chunk, (",".join(map(str, ids)), len(ids), b"".join(map(tokens.__getitem__, ids))))
+            put(chunk, (",".join(map(str, ids)), len(ids), b"".join(map(tokens.__getitem__, ids))))
         for chunks in cuts:
             if chunks:
                 decimals, counts, raw = zip(*map(table.__getitem__, chunks))
