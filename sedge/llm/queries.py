@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sedge.llm.bpe import bpe_digests
 from sedge.llm.common import table
 from sedge.llm.exact_dedup import exact_dedup
+from sedge.llm.jaccard_join import jaccard_join
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,8 +20,12 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op4_bpe)}
+    return {f.__name__: f for f in (op2_exact_dedup, op4_bpe, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
