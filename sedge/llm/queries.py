@@ -5,34 +5,84 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+import corpus_pipeline
+from sedge.llm import licences as licence_rules
 from sedge.llm.bpe import bpe_digests
 from sedge.llm.common import table
+from sedge.llm.decontaminate import contaminated
 from sedge.llm.exact_dedup import exact_dedup
 from sedge.llm.jaccard_join import jaccard_join
+from sedge.llm.language_id import language_id
+from sedge.llm.quotes import quote_links
+from sedge.llm.secrets import secret_spans
+from sedge.llm.token_store import store_digests
+from sedge.llm.warc import archive_digests
+
+
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(table(spark, sf_dir, "documents"))
+
+
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store_digests(table(spark, sf_dir, "documents"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_digests(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified", "url_key", "time", "part", "at"
+    )
+
+
+def op8_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quote_links(table(spark, sf_dir, "conversations")).select(
+        "conv_id", "turn", "role", "reply_to", "root", "depth", "n_quoted", F.sha2("text", 256).alias("text_sha256")
+    )
+
+
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_rules.licences(table(spark, sf_dir, "documents"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op4_bpe, op10_jaccard_join)}
+    found = (op1_decontaminate, op2_exact_dedup, op3_language_id, op4_bpe, op5_secrets, op6_token_store, op7_warc, op8_quotes, op9_licences, op10_jaccard_join, pipeline)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    found = {
         "op2_exact_dedup": r"""
             WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
             SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                    row_number() OVER (PARTITION BY norm ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(norm) AS text_sha256
             FROM n WINDOW w AS (PARTITION BY norm)""",
+        "op9_licences": licence_rules.oracle(),
     }
+    if corpus_pipeline.ORACLE_SQL:
+        found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
