@@ -113,9 +113,14 @@ class PatriciaTrie:
         if not child.children:
             return  # a single long key
         scratch = (os.environ.get("SPARK_LOCAL_DIRS") or "").split(",")[0]
-        child.spill = tempfile.TemporaryFile(dir=scratch if scratch and os.path.isdir(scratch) else None)
-        for key, value in _terminals(child, prefix):
-            pickle.dump((key, value), child.spill)
+        file = tempfile.TemporaryFile(dir=scratch if scratch and os.path.isdir(scratch) else None)
+        below: list[_Node] = []
+        for record in _terminals(child, prefix, below):
+            pickle.dump(record, file)
+        for node in below:
+            for record in _records(node.spill):
+                pickle.dump(record, file)
+        child.spill = file
         for n in path:
             n.weight -= child.weight - len(child.label)
         self.held -= child.weight - len(child.label)
@@ -128,17 +133,23 @@ class PatriciaTrie:
         self.root = _Node(b"")
         for node in spilled:
             below = PatriciaTrie(self.merge, self.bound)
-            node.spill.seek(0)
-            with node.spill as f:
-                while True:
-                    try:
-                        below.insert(*pickle.load(f))
-                    except EOFError:
-                        break
+            for record in _records(node.spill):
+                below.insert(*record)
             yield from below.items()
 
 
-def _terminals(node: _Node, prefix: bytes, spilled: list | None = None) -> Iterator[tuple[bytes, object]]:
+def _records(file) -> Iterator[tuple[bytes, object]]:
+    """What a spill file holds, from its start; the file goes after it."""
+    file.seek(0)
+    with file:
+        while True:
+            try:
+                yield pickle.load(file)
+            except EOFError:
+                return
+
+
+def _terminals(node: _Node, prefix: bytes, spilled: list) -> Iterator[tuple[bytes, object]]:
     stack = [(node, prefix)]
     while stack:
         n, before = stack.pop()
