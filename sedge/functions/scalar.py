@@ -449,6 +449,8 @@ def as_type(e: E, ty: str) -> str:
 
 def choice(parts: list[E], build) -> E:
     ty = common(parts)
+    if ty == "int" and all(p.narrow or p.ty == "null" for p in parts):
+        return E(build([p.sql for p in parts]), ty, narrow=True, agg=any(p.agg for p in parts))
     return E(build([as_type(p, ty) for p in parts]), ty, coll=parts[0].coll if ty == "text" else None, agg=any(p.agg for p in parts))
 
 
