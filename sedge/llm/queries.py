@@ -47,7 +47,7 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_digests(table(spark, sf_dir, "pages")).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified", "url_key", "time", "part", "at"
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified"
     )
 
 
@@ -81,7 +81,43 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                    row_number() OVER (PARTITION BY norm ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(norm) AS text_sha256
             FROM n WINDOW w AS (PARTITION BY norm)""",
+        "op7_warc": """
+            WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS payload_digest, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages),
+            h AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS holder FROM p)
+            SELECT page_id, payload_bytes, payload_digest, CASE WHEN holder <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+                   CASE WHEN holder <> page_id THEN holder END AS refers_to, true AS verified FROM h""",
+        "op8_quotes": r"""
+            WITH RECURSIVE src AS (SELECT row_number() OVER () AS rid, conv_id, turn, role, replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM conversations),
+            ls AS (SELECT rid, conv_id, turn, string_split(text, chr(10)) AS parts FROM src),
+            ln AS (SELECT rid, conv_id, turn, unnest(parts) AS raw, generate_subscripts(parts, 1) AS pos FROM ls),
+            mk AS (SELECT *, regexp_extract(raw, '^((?:[ \t]*>)+)(.*)$', 1) AS marks, regexp_extract(raw, '^((?:[ \t]*>)+)(.*)$', 2) AS rest FROM ln),
+            lv AS (SELECT *, length(regexp_replace(marks, '[^>]', '', 'g')) AS level, trim(regexp_replace(lower(CASE WHEN marks <> '' THEN rest ELSE raw END), '[^\p{L}\p{N}]+', ' ', 'g')) AS words FROM mk),
+            nx AS (SELECT *, coalesce(lead(level) OVER (PARTITION BY rid ORDER BY pos), 0) AS after FROM lv),
+            own AS (SELECT rid, string_agg(raw, chr(10) ORDER BY pos) AS t FROM nx
+                    WHERE level = 0 AND NOT (after > 0 AND regexp_matches(rtrim(raw), '(wrote|writes|said|schrieb|a écrit|escribió)\s*:$')) GROUP BY rid),
+            nq AS (SELECT rid, count(*) AS n FROM lv WHERE level > 0 AND words <> '' GROUP BY rid),
+            q AS (SELECT DISTINCT conv_id, turn, level, words FROM lv WHERE level > 0 AND words <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL),
+            o AS (SELECT DISTINCT conv_id, turn, words FROM lv WHERE level = 0 AND words <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL),
+            f AS (SELECT q.conv_id, q.turn, q.level, q.words, max(o.turn) AS source FROM q JOIN o ON o.conv_id = q.conv_id AND o.words = q.words AND o.turn < q.turn GROUP BY ALL),
+            v AS (SELECT conv_id, turn, level, source, count(*) AS n FROM f GROUP BY ALL),
+            b AS (SELECT conv_id, turn, source AS up FROM v QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, n DESC, source DESC) = 1),
+            r AS (SELECT conv_id, turn, up AS root, CAST(1 AS BIGINT) AS depth FROM b UNION ALL SELECT r.conv_id, r.turn, b.up, depth + 1 FROM r JOIN b ON b.conv_id = r.conv_id AND b.turn = r.root),
+            top AS (SELECT conv_id, turn, max(depth) AS depth, arg_max(root, depth) AS root FROM r GROUP BY ALL)
+            SELECT s.conv_id, s.turn, s.role, b.up AS reply_to, coalesce(top.root, s.turn) AS root, coalesce(top.depth, CAST(0 AS BIGINT)) AS depth, coalesce(nq.n, 0) AS n_quoted,
+                   sha256(regexp_replace(coalesce(own.t, ''), '^\n+|\n+$', '', 'g')) AS text_sha256
+            FROM src s LEFT JOIN own USING (rid) LEFT JOIN nq USING (rid) LEFT JOIN b ON b.conv_id = s.conv_id AND b.turn = s.turn LEFT JOIN top ON top.conv_id = s.conv_id AND top.turn = s.turn""",
         "op9_licences": licence_rules.oracle(),
+        "op10_jaccard_join": r"""
+            WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS ws FROM documents),
+            s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' ')) END) AS g FROM w WHERE len(ws) > 0),
+            n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+            p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+            l AS (SELECT x, y, i = a.n AND i = b.n AS same FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 9 * i >= 4 * (a.n + b.n)),
+            r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y),
+            c AS (SELECT x, min(y) AS class_id FROM r GROUP BY 1),
+            k AS (SELECT x, count(*) AS n_links, min(y) FILTER (WHERE same) AS rep FROM l GROUP BY 1)
+            SELECT doc_id, least(doc_id, coalesce(rep, doc_id)) AS rep_id, class_id, coalesce(n_links, 0) AS n_links
+            FROM documents JOIN c ON c.x = doc_id LEFT JOIN k ON k.x = doc_id""",
     }
     if corpus_pipeline.ORACLE_SQL:
         found["pipeline"] = corpus_pipeline.ORACLE_SQL
