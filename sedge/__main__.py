@@ -32,7 +32,7 @@ def main() -> int:
         from sedge.plans.catalogue import ORDER, TABLES
 
         for name in TABLES:
-            con.register(name, spark.read.parquet(f"{given.tables}/{name}.parquet"), ORDER.get(name))
+            con.offer(name, lambda path=f"{given.tables}/{name}.parquet": spark.read.parquet(path), ORDER.get(name))
     if given.image:
         from sedge.sources.image import attach
 

@@ -187,7 +187,7 @@ ORDER = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custke
 def connect(spark: SparkSession, sf_dir: str) -> Connection:
     con = Connection(spark)
     for name in TABLES:
-        con.register(name, spark.read.parquet(f"{sf_dir}/{name}.parquet"), ORDER.get(name))
+        con.offer(name, lambda path=f"{sf_dir}/{name}.parquet": spark.read.parquet(path), ORDER.get(name))
     return con
 
 

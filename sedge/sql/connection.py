@@ -109,9 +109,13 @@ class Catalog:
         self.tables: dict[str, Table] = {}
         self.views: dict[str, View] = {}
         self.values = {"user_version": 0, "application_id": 0, "auto_vacuum": 0}
+        self.offers: dict[str, object] = {}  # name: what registers the table when it is first named
 
     def table(self, name: str) -> Table | None:
-        return self.tables.get(name.lower())
+        name = name.lower()
+        if name not in self.tables and name in self.offers:
+            self.offers[name]()
+        return self.tables.get(name)
 
     def view(self, name: str) -> View | None:
         return self.views.get(name.lower())
@@ -143,6 +147,10 @@ class Connection:
             columns.append(TableColumn(f.name, kind, {"int": "int", "real": "real", "text": "text"}.get(kind), None, narrow, declared=kind.upper()))
         self.catalog.tables[name.lower()] = Table(name, columns, view, df, order, fixed=True)
 
+    def offer(self, name: str, load, order: str | None = None) -> None:
+        """As register, but load() is only called when a statement first names the table."""
+        self.catalog.offers[name.lower()] = lambda: self.register(name, load(), order)
+
     def prepare(self, sql: str) -> Node:
         found = parse(sql)
         if len(found) != 1:
@@ -244,7 +252,7 @@ class Connection:
     # --- definitions ---
 
     def _new_name(self, name: str, quiet: bool) -> bool:
-        if name.lower() in self.catalog.tables or name.lower() in self.catalog.views:
+        if self.catalog.table(name) is not None or name.lower() in self.catalog.views:
             if quiet:
                 return False
             raise SqlError(f"there is already an object named {name}")
@@ -377,8 +385,9 @@ class Connection:
                 if any(k.name.lower() == name and k.origin == "c" for k in t.keys):
                     self.catalog.tables[t.name.lower()] = replace(t, keys=[k for k in t.keys if k.name.lower() != name])
                     return Result([], None)
-        elif s.what == "table" and name in self.catalog.tables:
+        elif s.what == "table" and self.catalog.table(name) is not None:
             del self.catalog.tables[name]
+            self.catalog.offers.pop(name, None)
             return Result([], None)
         elif s.what == "view" and name in self.catalog.views:
             del self.catalog.views[name]
