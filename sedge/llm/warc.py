@@ -1,7 +1,7 @@
 """WARC archives with a merged capture index.
 
 Records are written as WARC/1.1 files by Spark's own text writer, so any file system
-it knows will do; they are read back byte by byte. Of equal payloads the one with the
+it knows will do, each as one gzip stream by default; they are read back byte by byte. Of equal payloads the one with the
 smallest id is a response, the others are revisits of it. Each reading task sorts its
 captures into a run by URL key and time; the runs are dealt by ranges of that key,
 and each range merges its slices of all runs with a loser tree, which gives the
@@ -14,6 +14,7 @@ payload one is the response; other columns are not read; an empty table gives no
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -38,7 +39,7 @@ def _uuid(column) -> F.Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">"))
 
 
-def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", time_col: str | None = None, least: int = LEAST_BYTES) -> None:
+def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", time_col: str | None = None, least: int = LEAST_BYTES, compression: str = "gzip") -> None:
     time = F.date_format(F.col(time_col), "yyyy-MM-dd'T'HH:mm:ss'Z'") if time_col else F.lit(EPOCH)
     rows = pages.select(
         F.col(id_col).cast("long").alias("id"),
@@ -49,7 +50,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     meta = ["id", F.sha2("html", 256).alias("digest"), F.octet_length("html").cast("long").alias("bytes")]
     keyed = rows.select(*meta)
     holders = written(keyed.where(F.col("bytes") >= least).groupBy("digest", "bytes").agg(F.min("id").alias("holder")), "warc-holders")
-    full = rows.select("*", *meta[1:]).join(holders, ["digest", "bytes"], "left")
+    full = rows.select("*", *meta[1:]).join(holders.hint("merge"), ["digest", "bytes"], "left")
     revisit = F.coalesce(F.col("holder") != F.col("id"), F.col("holder").isNotNull() & F.col("id").isNull())
     eol = "\r\n"
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{eol}Content-Type: text/html; charset=utf-8{eol}Content-Length: "), F.col("bytes"), F.lit(eol + eol))
@@ -67,7 +68,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         F.lit(f"{eol}Content-Type: application/http; msgtype=response{eol}Content-Length: "), F.octet_length("block").cast("string"), F.lit(eol + eol),
     )
     records = full.withColumn("revisit", revisit).withColumn("block", block).select(F.concat(head, "block").alias("value"))
-    records.write.option("lineSep", eol + eol).option("maxRecordsPerFile", RECORDS_PER_FILE).text(folder)
+    records.write.option("compression", compression).option("lineSep", eol + eol).option("maxRecordsPerFile", RECORDS_PER_FILE).text(folder)
 
 
 _HEADER = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)\r\n")
@@ -82,6 +83,10 @@ def url_key(url: str) -> str:
     return ",".join(reversed(host.split("."))) + ")" + (m[2].lower() or "/")
 
 
+def unpacked(content: bytes) -> bytes:
+    return gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
+
+
 def records(content: bytes) -> Iterator[tuple[int, int, dict[bytes, bytes], memoryview]]:
     """Offset, length, headers and block of each record."""
     at, view = 0, memoryview(content)
@@ -113,7 +118,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found = []
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-            content = content.as_py()
+            content = unpacked(content.as_py())
             for offset, length, h, block in records(content):
                 head_end = bytes(block[:4096]).index(b"\r\n\r\n") + 4
                 http = {k.lower(): v for k, v in _HEADER.findall(bytes(block[:head_end]))}
@@ -198,7 +203,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_index(spark: SparkSession, folder: str) -> DataFrame:
-    """All captures with file, offset and length; (part, at) is their global order by URL key and time."""
+    """All captures with file, offset and length (in the unpacked file); (part, at) is their global order by URL key and time."""
     files = spark.read.format("binaryFile").load(folder).select("path", "content")
     runs = written(files.mapInArrow(_runs, _CAPTURE), "warc-runs")
     dealt = runs.repartitionByRange(partitions(spark), "url_key", "time", F.col("page_id").asc_nulls_last(), "file", "offset").sortWithinPartitions("run", "seq")

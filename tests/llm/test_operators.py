@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -306,12 +307,13 @@ def test_joined_crc():
     assert token_store.joined_crc(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
 
 
-def test_warc(spark, tmp_path):
+@pytest.mark.parametrize("packed", ["gzip", "none"])
+def test_warc(spark, tmp_path, packed):
     big, small = "<p>é\r\n\r\nWARC/1.1\r\n" + "x" * 200, "tiny"
     pages = [(5, "http://b.org/x?q=1 2", big), (3, "https://www.a.com/", big), (9, "http://a.com/p", big), (4, None, small), (6, "u\r\nEvil: 1", small), (7, "http://a.com/z", None), (None, "http://a.com/n", big), (8, "http://a.com/long", "y" * 3_000_000), (3, "https://www.a.com/", big)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("holder", F.lit(1)).withColumn("digest", F.lit(2)).repartition(3)
     folder = f"file://{tmp_path}/warc"
-    warc.write_archives(df, folder)
+    warc.write_archives(df, folder, compression=packed)
     got = warc.read_index(spark, folder).orderBy("part", "at").collect()
     assert len(got) == len(pages) and all(r.verified for r in got)
     assert [(r.url_key, r.time) for r in got] == sorted((r.url_key, r.time) for r in got)
@@ -321,8 +323,7 @@ def test_warc(spark, tmp_path):
         want = ("revisit", 3) if r.page_id in (5, 9, None) else ("response", None)
         assert (r.record_type, r.refers_to) == want
         with open(r.file.removeprefix("file:"), "rb") as f:
-            f.seek(r.offset)
-            record = f.read(r.length)
+            record = warc.unpacked(f.read())[r.offset : r.offset + r.length]
         assert record.startswith(b"WARC/1.1\r\n") and record.endswith(b"\r\n\r\n") and (r.record_type == "revisit" or html in record)
     assert warc.archive_digests(df.limit(0)).collect() == []
 
@@ -380,6 +381,19 @@ def test_quotes(spark):
     assert quotes.quote_links(df.limit(0)).collect() == []
 
 
+def test_quotes_against_sql(spark):
+    import duckdb
+
+    from sedge.llm.queries import oracle_sql
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations(conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", MAIL[:-1])
+    want = con.sql(oracle_sql()["op8_quotes"])
+    df = quotes.quote_links(spark.createDataFrame(MAIL[:-1], "conv_id long, turn long, role string, text string")).withColumn("text_sha256", F.sha2("text", 256))
+    assert sorted(map(str, df.select(*want.columns).collect())) == sorted(str(Row(*want.columns)(*r)) for r in want.fetchall())
+
+
 def test_quotes_deep_chain(spark):
     chain = [(7, i, "u", (f"> line {i - 1}\n" if i else "") + f"line {i}") for i in range(40)]
     got = {r.turn: r for r in quotes.quote_links(spark.createDataFrame(chain, "conv_id long, turn long, role string, text string")).collect()}
