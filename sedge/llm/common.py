@@ -54,7 +54,7 @@ _MULTIPLIER = 0x9E3779B97F4A7C15
 class WordHashes(dict):
     """64-bit hashes of words, kept between batches; emptied when it holds `bound` words."""
 
-    def __init__(self, bound: int = 200_000):
+    def __init__(self, bound: int = 100_000):
         super().__init__()
         self.bound = bound
 
@@ -135,6 +135,8 @@ def arrow_rows(schema: pa.Schema, bound: int = 20_000) -> tuple[Callable[..., No
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
             for column in columns:
                 column.clear()
+        if last:
+            pa.default_memory_pool().release_unused()  # Python workers live on and share their executor's memory
 
     return add, take
 
@@ -159,7 +161,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             if upward:
                 both = both.union(frame.select(F.col("b").alias("n"), F.col("a").alias("m")))
             low = written(both.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("low")), f"{name}-{label}{step}low")
-            linked = both.join(low, "n")
+            linked = both.join(low.hint("merge"), "n")
             if upward:
                 out = linked.where("m > n").select(F.col("m").alias("a"), F.col("low").alias("b"))
             else:

@@ -38,7 +38,7 @@ DEPTH = 6
 TARGET_RECALL = 0.999
 #: Agreement of signatures below which a pair cannot reach the similarity but with a chance under 1e-6.
 FLOOR = 0.55
-BLOCK = 1024
+BLOCK = 512
 #: Classes of one group of equal prefixes that a task compares at once.
 GROUP_BLOCK = 65_536
 
@@ -249,6 +249,7 @@ def jaccard_join(
 ) -> DataFrame:
     """One row per document: doc_id, rep_id (smallest id with the same shingles), class_id
     (smallest id of its component of links), n_links (documents at or over the similarity, copies counted)."""
+    # Both sides of every join here grow with the input: none is broadcast, at any size.
     spark = docs.sparkSession
     n_parts = partitions(spark)
     k = prefix_length(similarity, trees, depth, target)
@@ -260,10 +261,10 @@ def jaccard_join(
     same = ["size", "h1", "h2"]
     sets = signed.where("size > 0 AND doc IS NOT NULL")
     classes = written(sets.groupBy(*same).agg(F.min("doc").alias("rep"), F.count("*").alias("weight")), "jaccard-classes")
-    members = written(signed.select("doc", *same).join(classes, same, "left"), "jaccard-members")
+    members = written(signed.select("doc", *same).join(classes.hint("merge"), same, "left"), "jaccard-members")
 
     first = classes.select(F.col("rep").alias("doc"), *same)
-    reps = written(sets.join(first, ["doc", *same]).dropDuplicates(["doc"]).select("doc", "keys", "sig"), "jaccard-reps")
+    reps = written(sets.join(first.hint("merge"), ["doc", *same]).dropDuplicates(["doc"]).select("doc", "keys", "sig"), "jaccard-reps")
 
     def blocked(frame: DataFrame, blocks: str) -> DataFrame:
         """Each row once for every pair of its block with a block of its group: i <= j, side tells which is its own."""
@@ -277,7 +278,7 @@ def jaccard_join(
 
     crowded = reps.select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1")
     crowded = written(crowded.select("key", F.ceil(F.col("count") / group_block).cast("int").alias("blocks")), "jaccard-crowded")
-    in_trees = reps.select("doc", "sig", F.explode("keys").alias("key")).join(crowded, "key")
+    in_trees = reps.select("doc", "sig", F.explode("keys").alias("key")).join(crowded.hint("merge"), "key")
     near = (
         blocked(in_trees, "blocks").select("key", "i", "j", "doc", "sig").repartition(n_parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "doc")
         .mapInArrow(_bucket_edges(floor), "a long, b long")
@@ -287,8 +288,8 @@ def jaccard_join(
     clusters = written(clusters, "jaccard-clusters")
     sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     weights = classes.select(F.col("rep").alias("doc"), "weight")
-    dealt = written(clusters.join(weights, "doc").join(sizes, "cluster"), "jaccard-dealt")
-    texts = rows.join(dealt, "doc")
+    dealt = written(clusters.join(weights.hint("merge"), "doc").join(sizes.hint("merge"), "cluster"), "jaccard-dealt")
+    texts = rows.join(dealt.hint("merge"), "doc")
     whole = blocked(texts, "blocks")
     checked = written(
         whole.repartition(n_parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "doc").mapInArrow(_verify(width, similarity), "kind byte, a long, b long"),
@@ -296,8 +297,8 @@ def jaccard_join(
     )
     degrees = checked.where("kind = 0").groupBy("a").agg(F.sum("b").alias("degree"))
     linked = components(checked.where("kind = 1").select("a", "b"), "jaccard-links")
-    found = written(degrees.join(linked, degrees.a == linked.node, "left").select(F.col("a").alias("rep"), "degree", "root"), "jaccard-found")
-    out = members.join(found, "rep", "left")
+    found = written(degrees.join(linked.hint("merge"), degrees.a == linked.node, "left").select(F.col("a").alias("rep"), "degree", "root"), "jaccard-found")
+    out = members.join(found.hint("merge"), "rep", "left")
     return out.select(
         F.col("doc").alias("doc_id"),
         F.coalesce("rep", "doc").alias("rep_id"),
