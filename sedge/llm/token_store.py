@@ -23,17 +23,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedge.llm.bpe import ChunkTable, cut, default_path
+from sedge.llm.bpe import PRETOKEN, ChunkTable, cut, default_path
 from sedge.llm.common import arrow_rows, fresh_path, mixed, partitions, written
 
 #: Ids in a chunk: at least, on average beyond that, at most.
 LEAST, AVERAGE, MOST = 128, 1024, 8192
-#: Entries of a Python worker's table of chunk texts.
-CACHE = 600_000
+#: Entries of a Python worker's tables of chunks and of the pieces in them.
+CACHE = 900_000
 
 
 def boundaries(ids: np.ndarray, least: int = LEAST, average: int = AVERAGE, most: int = MOST) -> list[int]:
@@ -43,7 +44,7 @@ def boundaries(ids: np.ndarray, least: int = LEAST, average: int = AVERAGE, most
         return [n]
     gear = mixed(ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
     rolling = np.zeros(n, np.uint64)
-    for i in range(8):
+    for i in range(min(8, n)):
         rolling[i:] += gear[: n - i] << np.uint64(i * 7)
     marks = np.flatnonzero(mixed(rolling) % np.uint64(average) == 0) + 1
     out, start, i = [], 0, 0
@@ -88,23 +89,55 @@ class LibraryEncoder:
         self.by_chunk = file.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre["add_prefix_space"] and plain
         self.width = 2 if self.library.get_vocab_size(with_added_tokens=True) <= 65536 else 4
         self.dtype = np.dtype("<u2" if self.width == 2 else "<u4")
-        self.chunks = ChunkTable(CACHE)
+        self.chunks, self.pieces = ChunkTable(CACHE), ChunkTable(CACHE)
+        self.special = {t["content"] for t in file["added_tokens"]}
+        line = self._ids(["\n"])[0]
+        self.line_id = line[0] if len(line) == 1 else None
+        self.pretoken = regex.compile(PRETOKEN).findall
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _of_pieces(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Pieces and their ids. Those without white space but for a leading blank go to the library as lines of a text:
+        a line end next to them is a piece, and so an id, of its own."""
+        lines = [p for p in pieces if (p[1:] if p[0] == " " else p).split() == [p.lstrip(" ")] and not any(s in p for s in self.special)] if self.line_id is not None else []
+        others = list(set(pieces).difference(lines)) if len(lines) < len(pieces) else []
+        for start in range(0, len(lines), 1000):
+            some = lines[start : start + 1000]
+            ids = np.array(self._ids(["\n".join(some) + "\n"])[0], self.dtype)
+            ends = np.flatnonzero(ids == self.line_id).tolist()
+            if len(ends) != len(some):
+                others += some
+                continue
+            for piece, a, b in zip(some, [-1, *ends], ends):
+                yield piece, ids[a + 1 : b].tobytes()
+        for start in range(0, len(others), 20_000):
+            some = others[start : start + 20_000]
+            for piece, ids in zip(some, self._ids(some)):
+                yield piece, np.array(ids, self.dtype).tobytes()
+
+    def _pieces(self, chunk: str) -> list[str]:
+        """A chunk's pre-tokens; one that may hold a special token is left to the library whole."""
+        if chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()) or any(s in chunk for s in self.special):
+            return [chunk]
+        return self.pretoken(chunk)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text."""
         if not self.by_chunk:
             return [np.array(i, self.dtype).tobytes() for i in self._ids(texts)]
         cuts = [cut(t) if t else [] for t in texts]
         missing = self.chunks.missing(cuts)
-        for start in range(0, len(missing), 20_000):
-            part = missing[start : start + 20_000]
-            for chunk, ids in zip(part, self._ids(part)):
-                self.chunks.put(chunk, np.array(ids, self.dtype).tobytes())
+        parts = [self._pieces(c) if c else [] for c in missing]
+        new = self.pieces.missing(parts)
+        for piece, ids in self._of_pieces(new):
+            self.pieces.put(piece, ids)
+        piece = self.pieces.table.__getitem__
+        for chunk, part in zip(missing, parts):
+            self.chunks.put(chunk, b"".join(map(piece, part)))
         known = self.chunks.table.__getitem__
-        return [b"".join(map(known, c)) for c in cuts]
+        return [b"".join(map(known, c)) for c in cuts]  # a chunk is "" only before a leading blank
 
 
 @lru_cache(2)
