@@ -32,7 +32,7 @@ from sedge.llm.common import arrow_rows
 PRETOKEN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 _DOUBLE_BLANK = re.compile(r"\s \s")
 #: Entries that the chunk table and the fragment table of a Python worker keep.
-CACHE = 250_000
+CACHE = 100_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -194,6 +194,11 @@ class ByteBPE:
             else:
                 yield "", 0, b""
 
+    def forget(self) -> None:
+        """Empties the tables: a worker outlives its task and shares its executor's memory with what comes next."""
+        self.fragments.clear()
+        self.chunks = ChunkTable(CACHE)
+
     def encode(self, text: str) -> list[int]:
         decimals = next(self.digests([text]))[0]
         return list(map(int, decimals.split(","))) if decimals else []
@@ -269,6 +274,7 @@ def bpe_digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id"
                     decoded = raw.decode("utf-8", "replace").encode()
                     add(doc_id, n, sha(decimals.encode()).hexdigest(), sha(decoded).hexdigest())
             yield from take()
+        bpe.forget()
         yield from take(True)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(

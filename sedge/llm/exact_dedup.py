@@ -30,7 +30,7 @@ from sedge.llm.common import arrow_rows, partitions, written
 #: Runs of these become one space before texts are compared.
 BLANKS = r"[\x20\x09-\x0D]+"
 #: Bytes of keys that a trie keeps in memory before it spills its heaviest subtree.
-TRIE_BYTES = 96 << 20
+TRIE_BYTES = 64 << 20
 _NONE = (1 << 63) - 1
 
 

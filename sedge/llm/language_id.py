@@ -68,15 +68,19 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
+def with_bias(x: np.ndarray) -> np.ndarray:
+    return np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float32, copy=False)
+
+
 def svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, steps: int = 300) -> np.ndarray:
     """Weights (the last is the bias) of an L2-regularised squared-hinge SVM, by accelerated gradient steps."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    x = with_bias(x)
     share = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1))
     w = v = np.zeros(x.shape[1])
     step, t = 1 / (1 / cost + 4.0), 1.0
     for _ in range(steps):
-        slack = np.maximum(0, 1 - y * (x @ v))
-        new = v - step * (v / cost - 2 * x.T @ (share * y * slack))
+        slack = np.maximum(0, 1 - y * (x @ v.astype(np.float32)))
+        new = v - step * (v / cost - 2 * ((share * y * slack).astype(np.float32) @ x))
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, w, t = new + (t - 1) / t2 * (new - w), new, t2
     return w
@@ -98,7 +102,7 @@ class HierarchicalModel:
         }
 
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
-        x = np.hstack([x, np.ones((len(x), 1))])
+        x = with_bias(x)
         sigmoid = lambda z: 1 / (1 + np.exp(-4 * z))
         if self.family_weights is None:
             best, sure = np.zeros(len(x), int), np.ones(len(x))
@@ -139,29 +143,30 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang
     draw = F.pmod(F.xxhash64(F.coalesce("id", F.lit("")), F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("lang", pa.string()), ("id", pa.string()), ("at", pa.list_(pa.int32())), ("x", pa.list_(pa.float32()))])
+        schema = pa.schema([("lang", pa.string()), ("id", pa.string()), ("x", pa.binary())])
         add, take = arrow_rows(schema, 200)
         for batch in batches:
             for row_id, text, lang in zip(*(c.to_pylist() for c in batch.columns)):
                 if has_letter(text):
-                    x = features(text, dimensions)
-                    at = np.flatnonzero(x)
-                    add(lang, row_id, at.tolist(), x[at].tolist())
+                    add(lang, row_id, features(text, dimensions).astype(np.float32).tobytes())
                 yield from take()
         yield from take(True)
 
-    found = rows.where(draw < mark).mapInArrow(run, "lang string, id string, at array<int>, x array<float>").toArrow().to_pylist()
-    found.sort(key=lambda r: (r["lang"], r["id"] or ""))
+    found = rows.where(draw < mark).mapInArrow(run, "lang string, id string, x binary").toArrow()  # at most 1.3 * per_language rows of a language
+    langs, ids = found.column(0).to_pylist(), found.column(1).to_pylist()
     kept: dict[str, int] = {}
-    x, labels = [], []
-    for r in found:
-        kept[r["lang"]] = kept.get(r["lang"], 0) + 1
-        if kept[r["lang"]] <= per_language:
-            v = np.zeros(dimensions, np.float32)
-            v[r["at"]] = r["x"]
-            x.append(v)
-            labels.append(r["lang"])
-    return HierarchicalModel(np.array(x), labels) if x else None
+    chosen = []
+    for i in sorted(range(len(langs)), key=lambda i: (langs[i], ids[i] or "")):
+        kept[langs[i]] = kept.get(langs[i], 0) + 1
+        if kept[langs[i]] <= per_language:
+            chosen.append(i)
+    if not chosen:
+        return None
+    x = np.empty((len(chosen), dimensions), np.float32)
+    for k, i in enumerate(chosen):
+        x[k] = np.frombuffer(found.column(2)[i].as_buffer(), np.float32)
+    del found
+    return HierarchicalModel(x, [langs[i] for i in chosen])
 
 
 def predict(docs: DataFrame, model: HierarchicalModel | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), dimensions: int = DIMENSIONS) -> DataFrame:
@@ -172,8 +177,8 @@ def predict(docs: DataFrame, model: HierarchicalModel | None, id_col: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                batch = whole.slice(start, 512)
+            for start in range(0, whole.num_rows, 128):
+                batch = whole.slice(start, 128)
                 texts = batch.column(0).to_pylist()
                 able = [i for i, t in enumerate(texts) if has_letter(t)] if model else []
                 langs, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
