@@ -4,8 +4,8 @@ Fixed masks choose some positions of a window of tokens and ignore the others, s
 window still matches when tokens at ignored positions were substituted. Hashes of
 all masked windows of the documents are tried against a Bloom filter of fixed size
 built from those of the benchmark; what passes is joined with the benchmark's
-hashes, and each shared diagonal is verified by an ungapped alignment that
-tolerates substitutions.
+hashes, and each shared diagonal is verified without gaps: any stretch of it that is
+long enough and has enough equal tokens is an overlap.
 
 Defined results: a token is a run of letters or digits in lower case; null and empty
 texts have none and never match; an item shorter than a mask is matched by the mask cut
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +74,32 @@ def align(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, i
     return low + start, end - start, int(equal[start:end].sum())
 
 
+def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int, min_tokens: int, share: Fraction) -> tuple[int, int, int]:
+    """Start in the item, length and equal tokens of the stretch with the most equal tokens on a diagonal, among
+    those of min_tokens or more (all of a shorter item) with that share of equal ones; length 0 where there is none."""
+    low, high = max(0, -diagonal), min(len(item), len(doc) - diagonal)
+    least = max(1, min(min_tokens, len(item)))
+    if high - low < least:
+        return 0, 0, 0
+    equal = doc[low + diagonal : high + diagonal] == item[low:high]
+    count = np.concatenate([[0], np.cumsum(equal)])
+    score = share.denominator * count - share.numerator * np.arange(len(count))  # a stretch has the share if it does not fall
+    floor = np.minimum.accumulate(score)
+    ends = np.arange(least, len(count))
+    starts = np.searchsorted(-floor, -score[ends])  # the first place from which the score does not fall
+    found = starts <= ends - least
+    if not found.any():
+        return 0, 0, 0
+    starts, ends = starts[found], ends[found]
+    k = int((count[ends] - count[starts]).argmax())
+    start, end = int(starts[k]), int(ends[k])
+    while end - start > least and not equal[end - 1]:
+        end -= 1
+    while end - start > least and not equal[start]:
+        start += 1
+    return low + start, end - start, int(count[end] - count[start])
+
+
 HITS = pa.schema([("row", pa.int64()), ("doc", pa.int64()), ("tokens", pa.binary()), ("hash", pa.list_(pa.int64())), ("at", pa.list_(pa.int32()))])
 
 
@@ -130,13 +157,14 @@ def _verify(min_tokens: int, min_identity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         add, take = arrow_rows(schema)
         hashes = WordHashes()
+        share = Fraction(str(min_identity))
         for batch in batches:
             for row, doc, tokens, item, text, diagonals in zip(*(c.to_pylist() for c in batch.columns)):
                 d, h = np.frombuffer(tokens, np.uint64), hashes.of(tokens_of(text))
                 best = (0, 0, 0)
                 for diagonal in diagonals:
-                    start, n, equal = align(d, h, diagonal)
-                    if n >= min(min_tokens, len(h)) and n and equal >= min_identity * n and (equal, -diagonal) > (best[2], -best[0]):
+                    start, n, equal = overlap(d, h, diagonal, min_tokens, share)
+                    if n and (equal, -start - diagonal) > (best[2], -best[0]):
                         best = (start + diagonal, n, equal)
                 if best[1]:
                     add(row, doc, item, *best)

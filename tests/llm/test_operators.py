@@ -207,6 +207,32 @@ def test_alignment_against_all_segments():
         assert equal - 2 * (n - equal) == max(best, 0) and equal == sum(doc[i + d] == item[i] for i in range(start, start + n))
 
 
+def test_overlap_against_all_stretches():
+    r = np.random.default_rng(5)
+    for _ in range(400):
+        item, doc, d, least = r.integers(0, 2, 16), r.integers(0, 2, 24), int(r.integers(-8, 15)), int(r.integers(1, 20))
+        share = decontaminate.Fraction(str(r.choice([0.75, 0.8, 0.6, 1.0])))
+        low, high = max(0, -d), min(16, 24 - d)
+        equal = [int(doc[i + d] == item[i]) for i in range(low, high)]
+        every = [sum(equal[a:b]) for a in range(len(equal)) for b in range(a + 1, len(equal) + 1) if b - a >= min(least, 16) and sum(equal[a:b]) >= share * (b - a)]
+        start, n, same = decontaminate.overlap(doc, item, d, least, share)
+        assert same == max(every, default=0) and (n > 0) == bool(every)
+        if n:
+            assert n >= min(least, 16) and same >= share * n and same == sum(equal[start - low : start - low + n])
+
+
+def test_contaminated_with_a_substitution_at_every_place(spark):
+    lengths = (13, 14, 15, 20)
+    bench = spark.createDataFrame([(k, " ".join(f"t{k}x{i}" for i in range(k))) for k in lengths], "item_id long, text string")
+    docs = []
+    for k in lengths:
+        for at in range(k):
+            docs.append((100 * k + at, "some words before it " + " ".join("other" if i == at else f"t{k}x{i}" for i in range(k)) + " and some after it"))
+    got = {(g.doc_id, g.item_id): g for g in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert set(got) == {(d, d // 100) for d, _ in docs}
+    assert all(g.n_tokens >= 13 and g.n_equal >= 0.75 * g.n_tokens for g in got.values())
+
+
 def test_language_id_rules(edge, rows, empty):
     got = language_id.language_id(edge).collect()
     assert len(got) == len(rows)
