@@ -89,7 +89,7 @@ def window(low, e, spec, scope) -> E:
         other = f", {S.as_type(args[2], args[0].ty)}" if len(args) > 2 else ""
         return made(f"{name}({S.out(args[0])}, {int(k)}{other}) {ranked}", "int" if args[0].ty == "bool" else args[0].ty, coll=args[0].coll)
     if excluded:
-        return _excluding(name, args, frame, peer, row, over, kept)
+        return _excluding(name, args, frame, peer, row, over, kept, part)
     if name in ("first_value", "last_value"):
         return made(f"{name}({S.out(args[0])}) {over}", args[0].ty, coll=args[0].coll)
     if name == "nth_value":
@@ -110,11 +110,30 @@ def window(low, e, spec, scope) -> E:
     raise SqlError(f"{name}() may not be used as a window function")
 
 
-def _excluding(name, args, frame, peer, row, over, kept) -> E:
-    """The frame as a list of (peer, row, value), without what EXCLUDE names for the current row."""
-    keep = {"current": f"f.r <> {row}", "group": f"f.p <> {peer}", "ties": f"(f.p <> {peer} OR f.r = {row})"}[frame.exclude]
+def _excluding(name, args, frame, peer, row, over, kept, part) -> E:
+    """The frame without what EXCLUDE names for the current row.
+
+    Over a whole partition, counts are those of the partition less those of the excluded rows, and so are sums of integers;
+    any other frame or function gathers the frame as a list of (peer, row, value).
+    """
     n = S.numeric(args[0]) if args and name in ("sum", "avg", "total") else args[0] if args else S.literal(1)
     v = S.real(n) if name in ("avg", "total") else S.out(n)
+    whole = frame.low[0] == frame.high[0] == "unbounded"
+    if whole and (name == "count" or name == "sum" and n.ty == "int"):
+        x = kept(v)
+        every = f"OVER ({f'PARTITION BY {part}' if part else ''})"
+        peers = f"OVER (PARTITION BY {f'{part}, ' if part else ''}{peer})"
+
+        def left(fn: str, value: str) -> str:
+            own = f"CASE WHEN {value} IS NULL THEN 0L ELSE {'1L' if fn == 'count' else value} END"
+            out = {"current": own, "group": f"coalesce({fn}({value}) {peers}, 0L)", "ties": f"coalesce({fn}({value}) {peers}, 0L) - {own}"}[frame.exclude]
+            return f"(coalesce({fn}({value}) {every}, 0L) - ({out}))"
+
+        if name == "count":
+            return E(f"CAST({left('count', x)} AS BIGINT)", "int")
+        wide = f"CAST({x} AS DECIMAL(38, 0))"  # partial sums may pass 64 bits where the result does not
+        return E(f"CASE WHEN {left('count', x)} > 0 THEN CAST({left('sum', wide)} AS BIGINT) END", n.ty)
+    keep = {"current": f"f.r <> {row}", "group": f"f.p <> {peer}", "ties": f"(f.p <> {peer} OR f.r = {row})"}[frame.exclude]
     gathered = f"collect_list(struct({peer} AS p, {row} AS r, {kept(v)} AS v)) {over}"
     values = f"filter(transform(filter({gathered}, f -> {keep}), f -> f.v), v -> v IS NOT NULL)"
     zero = "0D" if name in ("avg", "total") or n.ty == "real" else "0L"

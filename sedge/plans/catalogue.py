@@ -136,8 +136,8 @@ ENTRIES: list[tuple[str, str, str | None]] = [
     ("window_rows", "SELECT l_orderkey, l_linenumber, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS s, lag(l_quantity, 1, 0.0) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS p, first_value(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS f FROM lineitem", None),
     ("window_range", "SELECT c_custkey, count(*) OVER (PARTITION BY c_nationkey ORDER BY c_custkey RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS n FROM customer", None),
     ("window_groups", "SELECT c_custkey, count(*) OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS n FROM customer", None),
-    ("window_exclude", "SELECT c_custkey, count(*) OVER (PARTITION BY c_mktsegment, c_nationkey / 5 ORDER BY c_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE TIES) AS n FROM customer WHERE c_custkey < 300",
-     "SELECT c_custkey, count(*) OVER (PARTITION BY c_mktsegment, c_nationkey // 5 ORDER BY c_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE TIES) AS n FROM customer WHERE c_custkey < 300"),
+    ("window_exclude", "SELECT c_custkey, count(*) OVER (PARTITION BY c_mktsegment, c_nationkey / 5 ORDER BY c_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE TIES) AS n FROM customer",
+     "SELECT c_custkey, count(*) OVER (PARTITION BY c_mktsegment, c_nationkey // 5 ORDER BY c_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE TIES) AS n FROM customer"),
     ("window_running", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 4) AS running FROM events", None),
     ("json_extract", "SELECT event_id, json_extract(props, '$.k') AS k, props ->> 'k' AS k2 FROM events", "SELECT event_id, props ->> '$.k' AS k, props ->> '$.k' AS k2 FROM events"),
     ("date_parts", "SELECT o_orderkey, date(o_orderdate) AS d, strftime('%Y-%m', o_orderdate) AS ym, date(o_orderdate, 'start of month', '+1 month') AS nx FROM orders",

@@ -25,3 +25,14 @@ def test_same_rows(spark, duck, sf, name):
     order = [want.columns.index(c) for c in sorted(want.columns)]
     assert sorted(df.columns) == sorted(want.columns)
     assert got == sorted(repr([plain(r[i]) for i in order]) for r in want.fetchall())
+
+
+def test_exclude_reads_every_customer(spark):
+    import duckdb
+
+    folder = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW customer AS SELECT * FROM '{folder}/customer.parquet'")
+    got = sorted((r.c_custkey, r.n) for r in QUERIES["window_exclude"](spark, folder).collect())
+    assert len(got) == con.sql("SELECT count(*) FROM customer").fetchall()[0][0]
+    assert got == sorted(con.sql(ORACLE["window_exclude"]).fetchall())

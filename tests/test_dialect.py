@@ -167,3 +167,17 @@ def test_filters_and_columns_reach_the_scan(spark, sf):
     df = connect(spark, sf).sql("SELECT l_orderkey FROM lineitem WHERE l_shipdate >= '1995-01-01' AND l_quantity < 5")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(l_shipdate" in plan and "LessThan(l_quantity" in plan and "l_comment" not in plan
+
+
+def test_exclude_against_the_embedded_database(con, spark):
+    import sqlite3
+
+    values = "(1, 'a', 1, 10, 1.5), (2, 'a', 1, NULL, 2.5), (3, 'a', 2, 30, NULL), (4, 'a', NULL, 4611686018427387904, 0.5), (5, 'b', 1, -5, 4.0), (6, 'b', 1, NULL, NULL), (7, NULL, 3, NULL, 1.0), (8, 'a', 2, -4611686018427387904, 2.0)"
+    calls = ("count(*)", "count(v)", "sum(v)", "avg(w)", "total(w)", "sum(w)", "count(v) FILTER (WHERE k <> 3)", "sum(v) FILTER (WHERE k IN (1, 3))", "min(v)")
+    lite = sqlite3.connect(":memory:")
+    for exclude in ("CURRENT ROW", "GROUP", "TIES", "NO OTHERS"):
+        for by in ("PARTITION BY p ORDER BY o", "ORDER BY o", "PARTITION BY p"):
+            over = f"OVER ({by} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE {exclude})"
+            part = [f"{c} {over}" for c in calls]
+            sql = f"WITH t(k, p, o, v, w) AS (VALUES {values}) SELECT k, {', '.join(part)} FROM t ORDER BY k"
+            assert [tuple(r) for r in rows(con, sql)] == lite.execute(sql).fetchall(), over
