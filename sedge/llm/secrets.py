@@ -19,6 +19,7 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -51,12 +52,12 @@ def core(token: str) -> tuple[int, int]:
 
 def own_features(token: str) -> list[str]:
     a, b = core(token)
-    value = token[a:b][:200]
+    value = token[a:b]
     shape = value.translate(_CLASSES)
     kinds = {c if c in "aA0" else ("u" if c.isalpha() else "s") for c in shape}
     turns = sum(x != y for x, y in zip(shape, shape[1:]))
     n = len(value)
-    entropy = -sum(k / n * math.log2(k / n) for k in map(value.count, set(value))) if n else 0
+    entropy = -sum(k / n * math.log2(k / n) for k in Counter(value).values()) if n else 0
     name = token[:a].strip("\"':= ").lower()
     out = [f"len{min(n.bit_length(), 7)}", f"turns{min(turns // 2, 6)}", "kinds" + "".join(sorted(kinds)), f"entropy{int(entropy * 2)}", f"len{min(n // 8, 5)}turns{min(turns // 3, 4)}"]
     if any(value.startswith(o) for o in OPENINGS):

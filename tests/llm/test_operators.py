@@ -275,6 +275,16 @@ def test_crf_finds_held_out_secrets_and_islands_are_exact():
     assert hit > 0.95 * (hit + missed) and hit > 0.95 * (hit + wrong)
 
 
+def test_crf_reads_whole_tokens():
+    key = "9fQz81LmPq0RstUvWx72Kd+/Zp4Y7" * 8
+    plain = "abcdefgh" * 25
+    assert len(plain) == 200 and secrets.own_features(plain + key) != secrets.own_features(plain + "abcdefgh" * 30)
+    out = secrets.own_features(plain + key)
+    assert "kindsa" not in out and "turns0" not in out and "url" in secrets.own_features("1" + plain + "://x")
+    tagger = secrets.Tagger(secrets.trained())
+    assert [y for _, y in tagger.tag(["password", "=", plain + key])] == [1]
+
+
 def test_secret_spans(spark, edge, rows, empty):
     assert len(secrets.secret_spans(edge).collect()) == len(rows)
     assert secrets.secret_spans(empty).collect() == []
