@@ -391,6 +391,44 @@ def test_licences(spark, edge, rows, empty):
     assert licences.licences(empty).collect() == []
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+APACHE = """Copyright [yyyy] [name of copyright owner]
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+
+
+def test_licences_in_their_usual_layout(spark):
+    commented = "/*\n" + "".join(f" * {x}\n" for x in APACHE.split("\n")) + " */"
+    narrow = MIT.replace("The above copyright", "The above\ncopyright")
+    cases = [MIT, APACHE, MPL, MIT.replace("\n", "\r\n"), commented, narrow, licences.SENTENCES[3] + "\n" + licences.SENTENCES[3]]
+    got = licences.licences(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.licences for r in got] == ["MIT", "Apache-2.0", "MPL-2.0", "MIT", "Apache-2.0", "MIT", "Proprietary"]
+    assert [r.sentence_ids for r in got[:3]] == ["|5|6|", "|7|8|", "|13|"] and got[6].n_sentences == 2
+
+
 MAIL = [
     (1, 0, "u", "Where shall we meet?\nAnd when exactly?"),
     (1, 1, "a", "> Where shall we meet?\nAt the station."),
