@@ -1,10 +1,10 @@
-"""N-gram Jaccard join by a MinHash LSH forest with exact verification.
+"""N-gram Jaccard join by banded MinHash LSH with exact verification.
 
 1. Documents with the same set of word shingles form a class; its smallest id stands for it.
-2. Each class has `trees` x `depth` MinHash values. A tree sorts the classes by its
-   `depth` values, read as a prefix trie; the matched prefix is shortened from `depth`
-   until 1 - (1 - similarity^k)^trees reaches the target recall, and classes that share
-   such a prefix in a tree are candidates.
+2. Fixed bands stand in for the forest: k is the longest prefix, at most `depth`, for which
+   1 - (1 - similarity^k)^trees reaches the target recall. Only `trees` x k MinHash values
+   are made, each run of k is one key, and classes that share a key are candidates. No
+   trie is built and no prefix is shortened by what the data hold.
 3. In a group of equal prefixes, classes whose signatures agree in less than
    `floor` of their bits' places fall apart; what holds together is a candidate cluster.
 4. Clusters get the whole texts once. Jaccard similarities of all pairs in a cluster
