@@ -6,10 +6,12 @@ content hash, are inserted whole into the trie of the partition that owns them;
 its terminal nodes hold the smallest identifier, and heavy subtrees spill. The
 owners answer with a few numbers per text and input partition, which are joined
 back to the identifiers that stayed behind: no task ever holds all copies of a text.
+`unique_rows` sends the rows themselves instead, in ascending order of identifiers, so
+that the row that first reaches a terminal node is the one that stays.
 
 Defined results: a null text counts as empty; a null identifier sorts after all
 others; of rows that share text and identifier one stays; other columns of the
-input are not read; an empty table gives an empty result.
+input are not read (`unique_rows` hands them on, whatever their names); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from sedge.llm.common import arrow_rows, partitions, written
 BLANKS = r"[\x20\x09-\x0D]+"
 #: Bytes of keys that a trie keeps in memory before it spills its heaviest subtree.
 TRIE_BYTES = 64 << 20
+#: What a node and a value of it take besides the label.
+NODE_BYTES, VALUE_BYTES = 200, 40
 _NONE = (1 << 63) - 1
 
 
@@ -57,33 +61,31 @@ def _shared(a: bytes, b: bytes) -> int:
 
 
 class PatriciaTrie:
-    """A radix trie from byte strings to values merged by `merge`, within `bound` bytes of labels."""
+    """A radix trie from byte strings to values merged by `merge`, within `bound` bytes of labels, nodes and values."""
 
     def __init__(self, merge, bound: int = TRIE_BYTES):
         self.root, self.merge, self.bound, self.held = _Node(b""), merge, bound, 0
 
-    def insert(self, key: bytes, value) -> None:
+    def insert(self, key: bytes, value, late=None) -> bool | None:
+        """Whether the key is new; None if its subtree is on disk, where that can't be told yet. late: makes the value of a key that goes there."""
         node, at = self.root, 0
         path = [node]
         while True:
-            if node.spill is not None:
-                pickle.dump((key, value), node.spill)
-                return
             if at == len(key):
-                node.value = value if node.value is None else self.merge(node.value, value)
-                return
+                new = node.value is None
+                node.value = value if new else self.merge(node.value, value)
+                self._grew(path, VALUE_BYTES)
+                return new
             child = node.children.get(key[at])
             if child is None:
                 leaf = node.children[key[at]] = _Node(key[at:])
                 leaf.value = value
-                added = len(key) - at
-                for n in path:
-                    n.weight += added
-                leaf.weight = added
-                self.held += added
-                if self.held > self.bound:
-                    self._spill()
-                return
+                path.append(leaf)
+                self._grew(path, len(key) - at + NODE_BYTES + VALUE_BYTES)
+                return True
+            if child.spill is not None:
+                pickle.dump((key, late() if late else value), child.spill)
+                return None
             label = child.label
             if key.startswith(label, at):
                 node, at = child, at + len(label)
@@ -99,32 +101,38 @@ class PatriciaTrie:
             node, at = middle, at + k
             path.append(middle)
 
+    def _grew(self, path: list[_Node], size: int) -> None:
+        for n in path:
+            n.weight += size
+        self.held += size
+        if self.held > self.bound:
+            self._spill()
+
     def _spill(self) -> None:
-        """Moves the heaviest subtree below the first fork to a file that vanishes with the task."""
+        """Moves the heaviest subtree below the first fork, a single long key too, to a file that vanishes with the task;
+        the first byte of its keys stays, and whatever comes to it later goes to the file."""
         node, prefix, path = self.root, b"", [self.root]
-        while node.value is None and len([c for c in node.children.values() if c.spill is None]) == 1 and len(node.children) == 1:
+        while node.value is None and len(node.children) == 1 and next(iter(node.children.values())).spill is None:
             (node,) = node.children.values()
             prefix += node.label
             path.append(node)
         open_ = [c for c in node.children.values() if c.spill is None]
         if not open_:
-            return
+            return  # what is left is a key that all others begin with
         child = max(open_, key=lambda c: c.weight)
-        if not child.children:
-            return  # a single long key
         scratch = (os.environ.get("SPARK_LOCAL_DIRS") or "").split(",")[0]
         file = tempfile.TemporaryFile(dir=scratch if scratch and os.path.isdir(scratch) else None)
         below: list[_Node] = []
         for record in _terminals(child, prefix, below):
             pickle.dump(record, file)
-        for node in below:
-            for record in _records(node.spill):
+        for spilled in below:
+            for record in _records(spilled.spill):
                 pickle.dump(record, file)
-        child.spill = file
         for n in path:
-            n.weight -= child.weight - len(child.label)
-        self.held -= child.weight - len(child.label)
-        child.children, child.value, child.weight = {}, None, len(child.label)
+            n.weight -= child.weight
+        self.held -= child.weight
+        child.label, child.spill = child.label[:1], file
+        child.children, child.value, child.weight = {}, None, 0
 
     def items(self) -> Iterator[tuple[bytes, object]]:
         """All keys and values, resident subtrees first, then the spilled ones, each through a trie of its own."""
@@ -187,7 +195,7 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, row_id in zip(batch.column(0), batch.column(1)):
             key, row_id = key.as_py(), row_id.as_py()
             trie.insert(key, array("q", [_NONE if row_id is None else row_id]))
-            seen += len(key)
+            seen += len(key) + VALUE_BYTES
         if seen > TRIE_BYTES // 2:  # a text may then leave twice, which its owner settles
             yield from flush(trie)
             trie, seen = PatriciaTrie(merge), 0
@@ -220,15 +228,15 @@ def normalised(text) -> F.Column:
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256. Both sides of its join grow with the input: none is broadcast."""
     spark = docs.sparkSession
     rows = docs.select(F.encode(normalised(F.col(text_col)), "UTF-8").alias("norm"), F.col(id_col).cast("long").alias("id"))
     local = written(rows.mapInArrow(_local, "rep long, norm binary, ids array<long>"), "dedup-local")
     dealt = local.select("norm", "rep", F.col("ids")[0].alias("low"), F.size("ids").cast("long").alias("n")).repartition(
-        partitions(spark), F.octet_length("norm"), F.xxhash64("norm")
+        partitions(spark, local), F.octet_length("norm"), F.xxhash64("norm")
     )
     owned = dealt.mapInArrow(_owners, "rep long, keep_rep long, keep_id long, group_size long")
-    back = local.select("rep", "ids", F.sha2("norm", 256).alias("text_sha256")).join(owned, "rep")
+    back = local.select("rep", "ids", F.sha2("norm", 256).alias("text_sha256")).join(owned.hint("merge"), "rep")
     return back.select("rep", "keep_rep", "keep_id", "group_size", "text_sha256", F.posexplode("ids").alias("at", "id")).select(
         F.when(F.col("id") != _NONE, F.col("id")).alias("doc_id"),
         "keep_id",
@@ -236,3 +244,60 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         ((F.col("rep") == F.col("keep_rep")) & (F.col("at") == 0)).alias("kept"),
         "text_sha256",
     )
+
+
+_SEEN = (0, None)
+
+
+def _thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows with equal `norm` within a stretch of the partition the one with the smallest `id`."""
+    trie, held, seen = PatriciaTrie(min, 1 << 62), [], 0
+
+    def flush():
+        kept: dict[int, list[int]] = {}
+        for _, (_, b, i) in trie.items():
+            kept.setdefault(b, []).append(i)
+        for b in sorted(kept):
+            yield held[b].take(pa.array(sorted(kept[b]), pa.int32()))
+
+    for whole in batches:
+        for start in range(0, whole.num_rows, 1000):
+            batch = whole.slice(start, 1000)
+            held.append(batch)
+            for i, (key, row_id) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                trie.insert(key, (_NONE if row_id is None else row_id, len(held) - 1, i))
+                seen += len(key) + VALUE_BYTES
+            if seen > TRIE_BYTES // 2:  # a text may then leave twice, which its owner settles
+                yield from flush()
+                trie, held, seen = PatriciaTrie(min, 1 << 62), [], 0
+    yield from flush()
+
+
+def _first(batches: Iterator[pa.RecordBatch], bound: int = TRIE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Of rows with equal `norm` the first. Rows whose subtree is on disk follow there, and come last."""
+    trie, place = PatriciaTrie(min_place, bound), 0
+    for whole in batches:
+        for start in range(0, whole.num_rows, 1000):
+            batch = whole.slice(start, 1000)
+            keep = []
+            for i, key in enumerate(batch.column(0).to_pylist()):
+                place += 1
+                if trie.insert(key, _SEEN, lambda: (place, batch.take(pa.array([i], pa.int32())))):
+                    keep.append(i)
+            if keep:
+                yield batch.take(pa.array(keep, pa.int32()))
+    for _, (_, row) in trie.items():
+        if row is not None:
+            yield row
+
+
+def min_place(a: tuple, b: tuple) -> tuple:
+    return a if a[0] <= b[0] else b
+
+
+def unique_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay, whole: texts pass one shuffle, to their owners, and come out of it."""
+    spark = docs.sparkSession
+    rows = docs.select(F.encode(normalised(F.col(text_col)), "UTF-8").alias("norm"), F.col(id_col).cast("long").alias("id"), F.struct("*").alias("row"))
+    dealt = rows.mapInArrow(_thinned, rows.schema).repartition(partitions(spark, docs), F.octet_length("norm"), F.xxhash64("norm"))
+    return dealt.sortWithinPartitions(F.col("id").asc_nulls_last()).mapInArrow(_first, rows.schema).select("row.*")
