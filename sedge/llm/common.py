@@ -12,20 +12,31 @@ from pyspark.sql import functions as F
 
 #: Used only where the session names no folder (tests, a single machine).
 LOCAL_SCRATCH = "file:///tmp/checkpoints"
+#: Stored bytes that a task of a shuffle gets at most, on average.
+TASK_BYTES = 64 << 20
+MOST_PARTITIONS = 200_000
 
 
 def scratch(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = LOCAL_SCRATCH
     return f"{base.rstrip('/')}/sedge-{spark.sparkContext.applicationId}"
 
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, deleted when the application ends."""
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    p, files = _hadoop(spark, path)
+    files.deleteOnExit(p)
     return path
 
 
@@ -34,15 +45,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing will read again."""
+    for t in tables:
+        p, files = _hadoop(t.sparkSession, t.scratch_path)
+        files.delete(p, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def partitions(spark: SparkSession, *sources: DataFrame) -> int:
+    """Tasks of a shuffle: the session's setting, and more where the stored sources are larger than TASK_BYTES for each."""
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = sum(int(str(s._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for s in sources)
+    return max(least, min(MOST_PARTITIONS, -(-size // TASK_BYTES))) if size < 1 << 60 else least  # beyond that Spark doesn't know the size
 
 
 # --- words -----------------------------------------------------------------
@@ -155,24 +178,31 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(),
         f"{name}-0",
     )
+
+    def sums(frame: DataFrame):
+        return frame.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+
+    def star(frame: DataFrame, label: str, upward: bool) -> DataFrame:
+        both = frame.select(F.col("a").alias("n"), F.col("b").alias("m"))
+        if upward:
+            both = both.union(frame.select(F.col("b").alias("n"), F.col("a").alias("m")))
+        low = written(both.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("low")), f"{name}-{label}-low")
+        linked = both.join(low.hint("merge"), "n")
+        if upward:
+            out = linked.where("m > n").select(F.col("m").alias("a"), F.col("low").alias("b"))
+        else:
+            out = linked.select(F.col("m").alias("a"), F.col("low").alias("b")).union(low.select(F.col("n").alias("a"), F.col("low").alias("b")))
+        out = written(out.where("a <> b").distinct(), f"{name}-{label}")
+        free(low, frame)
+        return out
+
+    before = sums(pairs)
     for step in range(1, 200):
-        def star(frame: DataFrame, label: str, upward: bool) -> DataFrame:
-            both = frame.select(F.col("a").alias("n"), F.col("b").alias("m"))
-            if upward:
-                both = both.union(frame.select(F.col("b").alias("n"), F.col("a").alias("m")))
-            low = written(both.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("low")), f"{name}-{label}{step}low")
-            linked = both.join(low.hint("merge"), "n")
-            if upward:
-                out = linked.where("m > n").select(F.col("m").alias("a"), F.col("low").alias("b"))
-            else:
-                out = linked.select(F.col("m").alias("a"), F.col("low").alias("b")).union(low.select(F.col("n").alias("a"), F.col("low").alias("b")))
-            return written(out.where("a <> b").distinct(), f"{name}-{label}{step}")
-
-        before = pairs
-        pairs = star(star(pairs, "large", True), "small", False)
-        same = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if same == before.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first():
+        pairs = star(star(pairs, f"large{step}", True), f"small{step}", False)
+        now = sums(pairs)
+        if now == before:
             break
+        before = now
     else:
         raise RuntimeError("components did not settle")
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
