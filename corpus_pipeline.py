@@ -11,46 +11,42 @@ from sedge.llm import language_id as lid
 from sedge.llm.bpe import bpe_digests
 from sedge.llm.common import table, written
 from sedge.llm.decontaminate import decontaminate
-from sedge.llm.exact_dedup import exact_dedup, normalised
-from sedge.llm.jaccard_join import jaccard_join
+from sedge.llm.exact_dedup import unique_rows
+from sedge.llm.jaccard_join import unlike_rows
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: those with a null text or no letter, which are `und`."""
+    """Drops documents without a language: those with a null or empty text or no letter, which are `und`. A document
+    without a label gets the language it is told by; labels stay. Where no row has both text and label there is no
+    model, and every document with a letter stays as it is. Repeated rows are told alike; null identifiers don't matter."""
     model = lid.fit(docs, "doc_id", "text", "lang")
+    if model is None:
+        return docs.select(*COLUMNS).where(F.col("text").rlike(r"\p{L}"))
     told = lid.predict(docs.select(*COLUMNS), model, "doc_id", "text", COLUMNS)
-    return told.where(told.lang_pred != lid.UNDETERMINED).select(*COLUMNS)
+    return told.where(told.lang_pred != lid.UNDETERMINED).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def unique_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the smallest doc_id stays; of rows that repeat text and doc_id one."""
-    key = [F.coalesce(F.col("doc_id"), F.lit(-1 << 63)).alias("_id"), "text_sha256"]
-    told = exact_dedup(docs).select(*key, "kept").groupBy("_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    told = written(told.where("NOT kept OR n > 1"), "pipeline-copies")
-    rows = docs.select(*COLUMNS, F.sha2(F.encode(normalised(F.col("text")), "UTF-8"), 256).alias("text_sha256")).select("*", key[0])
-    left = rows.join(told.where("NOT kept").select("_id", "text_sha256"), ["_id", "text_sha256"], "left_anti")
-    again = told.where("kept").select("_id", "text_sha256")
-    if not again.isEmpty():
-        single = left.join(again, ["_id", "text_sha256"], "left_semi").dropDuplicates(["_id", "text_sha256"])
-        left = left.join(again, ["_id", "text_sha256"], "left_anti").unionByName(single)
-    return left.select(*COLUMNS)
+    """Of equal texts the row with the smallest doc_id stays, a null one last; of rows that repeat text and doc_id one;
+    a null text counts as empty."""
+    return unique_rows(docs.select(*COLUMNS))
 
 
 def unlike_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by near likeness, directly or over others, the one with the smallest doc_id stays."""
-    dropped = jaccard_join(docs).where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(written(dropped, "pipeline-near"), "doc_id", "left_anti").select(*COLUMNS)
+    """Of documents linked by near likeness, directly or over others, the one with the smallest doc_id stays; documents
+    without words or without doc_id stay, and rows that repeat a doc_id stay or go together."""
+    return unlike_rows(docs.select(*COLUMNS))
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a passage of the benchmark."""
-    return decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+    """Drops rows that hold a passage of the benchmark, those without doc_id too; rows without a text stay."""
+    return decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of what is left."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of what is left; a null text counts as empty."""
     return bpe_digests(docs)
 
 
