@@ -15,7 +15,7 @@ from sedge.llm.decontaminate import contaminated
 from sedge.llm.exact_dedup import exact_dedup
 from sedge.llm.jaccard_join import jaccard_join
 from sedge.llm.language_id import language_id
-from sedge.llm.quotes import quote_links
+from sedge.llm.quotes import in_order, quote_links, with_quoting_replies
 from sedge.llm.secrets import secret_spans
 from sedge.llm.token_store import store_digests
 from sedge.llm.warc import archive_digests
@@ -52,8 +52,9 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quote_links(table(spark, sf_dir, "conversations")).select(
-        "conv_id", "turn", "role", "reply_to", "root", "depth", "n_quoted", F.sha2("text", 256).alias("text_sha256")
+    """All conversations, and for each message a reply that quotes it."""
+    return in_order(quote_links(with_quoting_replies(table(spark, sf_dir, "conversations")))).select(
+        "conv_id", "turn", "role", "reply_to", "root", "depth", "seq", "n_quoted", F.sha2("text", 256).alias("text_sha256")
     )
 
 
@@ -87,25 +88,36 @@ def oracle_sql() -> dict[str, str]:
             SELECT page_id, payload_bytes, payload_digest, CASE WHEN holder <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
                    CASE WHEN holder <> page_id THEN holder END AS refers_to, true AS verified FROM h""",
         "op8_quotes": r"""
-            WITH RECURSIVE src AS (SELECT row_number() OVER () AS rid, conv_id, turn, role, replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM conversations),
+            WITH RECURSIVE told AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM conversations),
+            every AS (SELECT * FROM told UNION ALL SELECT conv_id, turn + 1000000, 'reader', 'On that, the ' || coalesce(role, 'other') || ' wrote:' || chr(10) || '> ' ||
+                regexp_replace(regexp_replace(coalesce(text, ''), '[\r\n]+', ' ', 'g'), '((?:[^ ]+ ){6}[^ ]+) ', '\1' || chr(10) || '> ', 'g') || chr(10) || chr(10) || 'Noted as point ' || turn || '.'
+                FROM told WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+            src AS (SELECT row_number() OVER () AS rid, conv_id, turn, role, replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM every),
             ls AS (SELECT rid, conv_id, turn, string_split(text, chr(10)) AS parts FROM src),
             ln AS (SELECT rid, conv_id, turn, unnest(parts) AS raw, generate_subscripts(parts, 1) AS pos FROM ls),
             mk AS (SELECT *, regexp_extract(raw, '^((?:[ \t]*>)+)(.*)$', 1) AS marks, regexp_extract(raw, '^((?:[ \t]*>)+)(.*)$', 2) AS rest FROM ln),
             lv AS (SELECT *, length(regexp_replace(marks, '[^>]', '', 'g')) AS level, trim(regexp_replace(lower(CASE WHEN marks <> '' THEN rest ELSE raw END), '[^\p{L}\p{N}]+', ' ', 'g')) AS words FROM mk),
-            nx AS (SELECT *, coalesce(lead(level) OVER (PARTITION BY rid ORDER BY pos), 0) AS after FROM lv),
-            own AS (SELECT rid, string_agg(raw, chr(10) ORDER BY pos) AS t FROM nx
-                    WHERE level = 0 AND NOT (after > 0 AND regexp_matches(rtrim(raw), '(wrote|writes|said|schrieb|a écrit|escribió)\s*:$')) GROUP BY rid),
+            nx AS (SELECT *, coalesce(lead(level) OVER (PARTITION BY rid ORDER BY pos), 0) AS after, coalesce(lag(level) OVER (PARTITION BY rid ORDER BY pos) <> level, true) AS fresh FROM lv),
+            pn AS (SELECT *, count(*) FILTER (WHERE fresh) OVER (PARTITION BY rid ORDER BY pos) AS passage FROM nx),
+            own AS (SELECT * FROM pn WHERE level = 0 AND NOT (after > 0 AND regexp_matches(rtrim(raw), '(wrote|writes|said|schrieb|a écrit|escribió)\s*:$'))),
+            clean AS (SELECT rid, string_agg(raw, chr(10) ORDER BY pos) AS t FROM own GROUP BY rid),
             nq AS (SELECT rid, count(*) AS n FROM lv WHERE level > 0 AND words <> '' GROUP BY rid),
-            q AS (SELECT DISTINCT conv_id, turn, level, words FROM lv WHERE level > 0 AND words <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL),
-            o AS (SELECT DISTINCT conv_id, turn, words FROM lv WHERE level = 0 AND words <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL),
-            f AS (SELECT q.conv_id, q.turn, q.level, q.words, max(o.turn) AS source FROM q JOIN o ON o.conv_id = q.conv_id AND o.words = q.words AND o.turn < q.turn GROUP BY ALL),
-            v AS (SELECT conv_id, turn, level, source, count(*) AS n FROM f GROUP BY ALL),
+            ps AS (SELECT conv_id, turn, level, passage, string_agg(words, ' ' ORDER BY pos) AS words FROM pn WHERE level > 0 AND words <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY rid, conv_id, turn, level, passage),
+            os AS (SELECT conv_id, turn, string_agg(words, ' ' ORDER BY pos) AS words FROM own WHERE words <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY rid, conv_id, turn
+                   UNION ALL SELECT conv_id, turn, words FROM own WHERE words <> '' AND len(string_split(words, ' ')) < 4 AND conv_id IS NOT NULL AND turn IS NOT NULL),
+            q AS (SELECT DISTINCT conv_id, turn, level, passage, unnest(CASE WHEN len(string_split(words, ' ')) < 4 THEN ['= ' || words] ELSE list_transform(range(1, len(string_split(words, ' ')) - 2), lambda i: array_to_string(string_split(words, ' ')[i : i + 3], ' ')) END) AS gram FROM ps),
+            o AS (SELECT DISTINCT conv_id, turn, unnest(CASE WHEN len(string_split(words, ' ')) < 4 THEN ['= ' || words] ELSE list_transform(range(1, len(string_split(words, ' ')) - 2), lambda i: array_to_string(string_split(words, ' ')[i : i + 3], ' ')) END) AS gram FROM os),
+            f AS (SELECT q.conv_id, q.turn, q.level, q.passage, q.gram, max(o.turn) AS source FROM q LEFT JOIN o ON o.conv_id = q.conv_id AND o.gram = q.gram AND o.turn < q.turn GROUP BY ALL),
+            c AS (SELECT conv_id, turn, level, passage, source, count(*) AS n, sum(count(*)) OVER (PARTITION BY conv_id, turn, level, passage) AS windows FROM f GROUP BY conv_id, turn, level, passage, source),
+            v AS (SELECT conv_id, turn, level, source, sum(n) AS n FROM c WHERE source IS NOT NULL AND 2 * n >= windows GROUP BY ALL),
             b AS (SELECT conv_id, turn, source AS up FROM v QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, n DESC, source DESC) = 1),
             r AS (SELECT conv_id, turn, up AS root, CAST(1 AS BIGINT) AS depth FROM b UNION ALL SELECT r.conv_id, r.turn, b.up, depth + 1 FROM r JOIN b ON b.conv_id = r.conv_id AND b.turn = r.root),
-            top AS (SELECT conv_id, turn, max(depth) AS depth, arg_max(root, depth) AS root FROM r GROUP BY ALL)
-            SELECT s.conv_id, s.turn, s.role, b.up AS reply_to, coalesce(top.root, s.turn) AS root, coalesce(top.depth, CAST(0 AS BIGINT)) AS depth, coalesce(nq.n, 0) AS n_quoted,
-                   sha256(regexp_replace(coalesce(own.t, ''), '^\n+|\n+$', '', 'g')) AS text_sha256
-            FROM src s LEFT JOIN own USING (rid) LEFT JOIN nq USING (rid) LEFT JOIN b ON b.conv_id = s.conv_id AND b.turn = s.turn LEFT JOIN top ON top.conv_id = s.conv_id AND top.turn = s.turn""",
+            top AS (SELECT conv_id, turn, max(depth) AS depth, arg_max(root, depth) AS root FROM r GROUP BY ALL),
+            whole AS (SELECT s.conv_id, s.turn, s.role, b.up AS reply_to, coalesce(top.root, s.turn) AS root, coalesce(top.depth, CAST(0 AS BIGINT)) AS depth, coalesce(nq.n, 0) AS n_quoted,
+                   regexp_replace(coalesce(clean.t, ''), '^\n+|\n+$', '', 'g') AS text
+                   FROM src s LEFT JOIN clean USING (rid) LEFT JOIN nq USING (rid) LEFT JOIN b ON b.conv_id = s.conv_id AND b.turn = s.turn LEFT JOIN top ON top.conv_id = s.conv_id AND top.turn = s.turn)
+            SELECT conv_id, turn, role, reply_to, root, depth, CASE WHEN conv_id IS NULL OR turn IS NULL THEN 0 ELSE row_number() OVER (PARTITION BY conv_id, root ORDER BY depth, turn, role NULLS FIRST, text) - 1 END AS seq,
+                   n_quoted, sha256(text) AS text_sha256 FROM whole""",
         "op9_licences": licence_rules.oracle(),
         "op10_jaccard_join": r"""
             WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS ws FROM documents),
