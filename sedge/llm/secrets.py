@@ -1,8 +1,8 @@
 """Secret scans with a linear-chain conditional random field.
 
 Fixed patterns give the base spans. Beside them a CRF tags every blank-separated token
-as secret begin, inside or outside, from the token's shape, its neighbours' words and a
-feature of the whole file; Viterbi decodes the tags. It is trained on generated
+as secret begin, inside or outside, from the token's shape, its neighbours' words (each word that
+several training lines hold, and the kind of any other) and a feature of the whole file; Viterbi decodes the tags. It is trained on generated
 lines (no secrets are labelled in a corpus), in a few seconds, the same each time.
 
 A token whose outside score beats the others by more than any two transitions can
@@ -76,13 +76,23 @@ def own_features(token: str) -> list[str]:
     return out
 
 
+#: Neighbouring words are features where so many training lines have them.
+WORD_LINES = 4
+_SIGNS = "\"'`:=,;()[]{}<>"
+
+
+def near_word(token: str) -> str:
+    return token.strip(_SIGNS).lower()
+
+
 def near_features(token: str, side: str) -> list[str]:
-    word = token.strip("\"'`:=,;()[]{}<>").lower()
+    """Of a neighbour: its word, and what kind of word it is."""
+    word = near_word(token)
     if word in KEYWORDS:
-        return [f"{side}keyword"]
+        return [f"{side}keyword", f"{side}word:{word}"]
     if not word:
         return [f"{side}sign:{token[:2]}"]
-    return [f"{side}plain" if word.isalpha() else f"{side}other"]
+    return [f"{side}plain" if word.isalpha() else f"{side}other", f"{side}word:{word[:40]}"]
 
 
 def file_feature(tokens: int, marked: int) -> str:
@@ -118,6 +128,8 @@ def generated_lines(count: int, seed: int = 7) -> list[list[tuple[str, int]]]:
     r = random.Random(seed)
     alphabets = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", "abcdefghijklmnopqrstuvwxyz0123456789-_!#$%")
     letters = "eeeaaoiunrstlhdcmpfgbvwkyzéüñ"
+    code = "get set make read write user file path node list map key value test foo bar baz factory builder handler index count buffer stream image config client server request response token type name data item event".split()
+    talk = "the a of is was in to and for with from my your new old see page commit version build issue figure table section by at".split()
 
     def value() -> str:
         body = "".join(r.choices(r.choice(alphabets), k=r.randint(14, 44)))
@@ -127,6 +139,9 @@ def generated_lines(count: int, seed: int = 7) -> list[list[tuple[str, int]]]:
         w = "".join(r.choices(letters, k=min(r.randint(2, 12), r.randint(2, 24))))
         return (w.capitalize() if r.random() < 0.15 else w.upper() if r.random() < 0.05 else w) + (r.choice(".,;:|###***%%%&&&$$$") if r.random() < 0.2 else "")
 
+    def camel() -> str:
+        return "".join(w.strip(".,;:|#*%&$").capitalize() for w in (r.choice(code), word(), r.choice(code), *([r.choice(code)] * r.randint(0, 2))))
+
     def harmless() -> str:
         return r.choice((
             lambda: str(r.randint(0, 10**r.randint(1, 17))), lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)),
@@ -134,11 +149,17 @@ def generated_lines(count: int, seed: int = 7) -> list[list[tuple[str, int]]]:
             lambda: f"+{r.randint(1, 99)}-{r.randint(100, 999)}-{r.randint(1000, 9999)}", lambda: f"{word()}-{word()}", lambda: f"/{word()}/{word()}/{word()}.txt",
             lambda: f"{word()}={r.randint(0, 99)}", lambda: f"{word()}({word()})", lambda: f"{r.choice(('key', 'token', 'pass'))}={word()}", lambda: "".join(r.choice("#*%&$|=-") for _ in range(r.randint(1, 4))),
             lambda: word() + r.choice(("###", "***", "%%%", "&&&", "$$$")),
+            # What code and papers hold: names, calls, versions, identifiers, embedded data.
+            lambda: camel() + r.choice(("", str(r.randint(1, 2030)))), lambda: f"{camel()}({r.choice(code)}{r.randint(0, 10**7)}", lambda: f"{r.choice(code)}.{camel()}({r.choice(code)},", lambda: f"{word()}{word()}{r.randint(1, 10**10)}".replace(".", ""),
+            lambda: "_".join(r.choices(code, k=r.randint(2, 5))).upper(), lambda: "_".join(r.choices(code, k=r.randint(2, 5))) + str(r.randint(0, 99)), lambda: f"v{r.randint(0, 20)}.{r.randint(0, 99)}.{r.randint(0, 99)}-rc{r.randint(1, 9)}",
+            lambda: f"doi:10.{r.randint(1000, 99999)}/{word()}.{r.randint(1990, 2030)}.{r.randint(1, 10**6)}", lambda: f"10.{r.randint(1000, 99999)}/{word().upper()}-{r.randint(1, 10**6)}-{r.randint(1, 99)}",
+            lambda: f"urn:isbn:{r.randint(10**12, 10**13)}", lambda: f"https://{word()}.com/{word()}?{r.choice(code)}={r.randint(1, 10**9)}&{r.choice(code)}={word()}",
+            lambda: "data:image/png;base64," + "".join(r.choices(alphabets[3], k=r.randint(20, 200))), lambda: f"#include<{r.choice(code)}/{r.choice(code)}.h>", lambda: f"{r.choice(code)}::{camel()}<{camel()}>",
         ))()
 
     lines = []
     for _ in range(count):
-        line = [(word() if r.random() < 0.75 else harmless(), 0) for _ in range(r.randint(3, 12))]
+        line = [(r.choice(talk) if (x := r.random()) < 0.2 else word() if x < 0.7 else harmless(), 0) for _ in range(r.randint(3, 12))]
         if r.random() < 0.55:
             name = r.choice(sorted(KEYWORDS))
             name = name.upper() if r.random() < 0.3 else name
@@ -171,6 +192,7 @@ class CRF:
     def __init__(self):
         self.weights: dict[str, np.ndarray] = {}
         self.transitions = np.zeros((3, 3))
+        self.words: frozenset[str] = frozenset()
 
     @staticmethod
     def features(tokens: list[str]) -> list[list[str]]:
@@ -181,7 +203,10 @@ class CRF:
         ]
 
     def train(self, lines: list[list[tuple[str, int]]], epochs: int = 5, rate: float = 0.2, decay: float = 1e-4) -> CRF:
-        data = [(self.features([t for t, _ in line]), [y for _, y in line]) for line in lines]
+        seen = Counter(w for line in lines for w in {near_word(t) for t, _ in line})
+        self.words = frozenset(w for w, n in seen.items() if w and n >= WORD_LINES)
+        known = {f"{side}word:{w}" for w in self.words for side in ("left-", "right-")}
+        data = [([[f for f in fs if "-word:" not in f or f in known] for fs in self.features([t for t, _ in line])], [y for _, y in line]) for line in lines]
         order = random.Random(3)
         zero = np.zeros(3)
         for epoch in range(epochs):
@@ -260,11 +285,12 @@ class Tagger:
         self.scores = np.zeros((4096, 10))
 
     def _add(self, token: str) -> None:
-        plain = plain_class(token)
-        if plain and token.rstrip(".,;:!?").lower() not in KEYWORDS:
+        plain, word = plain_class(token), near_word(token)
+        known = word if word in self.model.words else ""
+        if plain and word not in KEYWORDS and not known:
             key = plain, token.isalpha() or token.strip(",;:").isalpha()
         else:
-            key = (*own_features(token), *near_features(token, ""), is_marked(token))
+            key = (*token_features(token), *near_features(token, "")[: 1 if word else None], known, is_marked(token))
         k = self.rows.get(key)
         if k is None:
             k = self.rows[key] = len(self.rows)
