@@ -57,12 +57,45 @@ def near_kept(left):
     return {i for i in left if find(i) == i}
 
 
-def test_repeated_rows_leave_one(spark, sf):
-    docs = table(spark, sf, "documents").limit(5)
-    twice = docs.union(docs)
-    for name in ("exact_dedup",):
-        out = dict(corpus_pipeline.STAGES)[name](spark, twice, sf)
-        assert out.count() == corpus_pipeline.unique_texts(spark, docs, sf).count()
+def odd_rows(spark):
+    """Nulls in every column, empty and long texts, repeated rows, and columns with the names that operators use inside."""
+    from pyspark.sql import functions as F
+
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [
+        (1, "An ordinary text with a few words in it.", "en", "a", 1), (2, "An  ordinary text\nwith a few words in it.", None, "a", 1), (2, "An  ordinary text\nwith a few words in it.", None, "a", 1),
+        (None, "A text without an identifier but with words.", "en", None, None), (3, None, "en", "b", 0), (4, "", "en", "b", 0), (5, "12 34 !!", None, "b", 0), (6, "word " * 40_000, "en", "c", 9), (7, passage, "en", "c", 9),
+        (8, passage.replace("p30", "other"), "en", "c", 9), (None, None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("row", "norm", "id", "doc", "at", "rep", "cluster", "lang_pred", "hash"):
+        df = df.withColumn(c, F.lit("clash"))
+    return df
+
+
+def test_stages_on_odd_rows(spark, sf):
+    docs, empty = odd_rows(spark), odd_rows(spark).limit(0)
+    want = {
+        "language_id": ["1", "2", "2", "6", "7", "8", "None"], "exact_dedup": ["1", "3", "5", "6", "7", "8", "None"],
+        "near_dedup": ["1", "3", "4", "5", "6", "7", "None", "None"], "decontaminate": sorted(str(r.doc_id) for r in docs.collect()), "bpe": sorted(str(r.doc_id) for r in docs.collect()),
+    }
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        assert sorted(str(r.doc_id) for r in out.collect()) == want[name], name
+        assert stage(spark, empty, sf).collect() == []
+        assert name == "bpe" or out.columns == list(corpus_pipeline.COLUMNS)
+
+
+def test_language_id_stage_labels_and_stands_without_a_model(spark, sf):
+    docs = table(spark, sf, "documents")
+    from pyspark.sql import functions as F
+
+    stage = dict(corpus_pipeline.STAGES)["language_id"]
+    some = stage(spark, docs.withColumn("lang", F.when(F.col("doc_id") % 3 > 0, F.col("lang"))), sf).collect()
+    truth = {r.doc_id: r.lang for r in docs.collect()}
+    hidden = [r for r in some if r.doc_id % 3 == 0 and truth[r.doc_id]]
+    assert hidden and sum(r.lang == truth[r.doc_id] for r in hidden) > 0.9 * len(hidden)
+    assert stage(spark, docs.withColumn("lang", F.lit(None).cast("string")), sf).count() == len(some)
 
 
 def test_every_operator_has_a_query():
