@@ -26,6 +26,12 @@ class E:
     items: tuple = ()
     agg: bool = False
     literal: object = field(default=None, compare=False)
+    #: Of integer arithmetic that may leave 64 bits: the integer, NULL beyond them, and the real that the value then is.
+    #: `sql` raises there: it stands where a value must have the one type of its column.
+    soft: str | None = None
+    wide: str | None = None
+    #: What an integer cannot exceed, where that is known.
+    most: int | None = field(default=None, compare=False)
 
 
 def lit_text(s: str) -> str:
@@ -40,7 +46,7 @@ def literal(v) -> E:
     if isinstance(v, int):
         if not -(1 << 63) <= v < 1 << 63:
             return literal(float(v))
-        return E(f"{v}L" if v != -(1 << 63) else "(-9223372036854775807L - 1L)", "int", literal=v)
+        return E(f"{v}L" if v != -(1 << 63) else "(-9223372036854775807L - 1L)", "int", literal=v, most=abs(v))
     if isinstance(v, float):
         if v != v:
             return E("NULL", "null")
@@ -71,6 +77,8 @@ def truth(e: E) -> str:
         return e.sql
     if e.ty == "null":
         return "CAST(NULL AS BOOLEAN)"
+    if e.wide:
+        return f"({real(e)} <> 0)"
     if e.ty in ("int", "real"):
         return f"({e.sql} <> 0)"
     return f"({real(e)} <> 0)"
@@ -98,6 +106,8 @@ def text(e: E) -> str:
         return f"decode({e.sql}, 'UTF-8')"
     if e.ty == "ts":
         return f"date_format({e.sql}, 'yyyy-MM-dd HH:mm:ss')"
+    if e.wide:
+        return f"coalesce(CAST({e.soft} AS STRING), {real_text(e.wide)})"
     return f"CAST({out(e)} AS STRING)"
 
 
@@ -107,6 +117,8 @@ def real(e: E) -> str:
         return e.sql
     if e.ty == "null":
         return "CAST(NULL AS DOUBLE)"
+    if e.wide:
+        return f"coalesce(CAST({e.soft} AS DOUBLE), {e.wide})"
     if e.ty in ("int", "bool"):
         return f"CAST({out(e)} AS DOUBLE)"
     t = text(e)
@@ -115,6 +127,8 @@ def real(e: E) -> str:
 
 def integer(e: E) -> str:
     """As an integer: reals truncate and saturate, text by its integer prefix."""
+    if e.wide:
+        return f"coalesce({e.soft}, {integer(E(e.wide, 'real'))})"
     if e.ty == "int":
         return f"CAST({e.sql} AS BIGINT)" if e.narrow else e.sql
     if e.ty == "bool":
@@ -195,8 +209,10 @@ def numeric(e: E) -> E:
     """For arithmetic: text becomes a real, truth an integer, a narrow integer a wide one."""
     if e.items:
         raise SqlError("row value misused")
+    if e.wide:
+        return e
     if e.ty in ("int", "bool", "null"):
-        return E(integer(e), "int", literal=e.literal)
+        return E(integer(e), "int", literal=e.literal, most=1 if e.ty == "bool" else 1 << 31 if e.narrow else e.most)
     return E(real(e), "real", literal=e.literal)
 
 
@@ -214,17 +230,45 @@ def arith(op: str, a: E, b: E) -> E:
         s = f"CASE WHEN {j} = 0 THEN NULL WHEN {j} = -1 THEN 0L ELSE {i} % {j} END"
         return E(s, "int", agg=agg) if ints else E(f"CAST({s} AS DOUBLE)", "real", agg=agg)
     if ints:
+        sx, sy = x.soft or x.sql, y.soft or y.sql
         if op != "/":
-            return E(f"({x.sql} {op} {y.sql})", "int", agg=agg)
-        if isinstance(b.literal, int) and b.literal not in (0, -1):
-            return E(f"({x.sql} DIV {y.sql})", "int", agg=agg)
-        return E(f"CASE WHEN {y.sql} = 0 THEN NULL ELSE {x.sql} DIV {y.sql} END", "int", agg=agg)
+            if isinstance(x.literal, int) and isinstance(y.literal, int):
+                return replace(literal(x.literal + y.literal if op == "+" else x.literal - y.literal if op == "-" else x.literal * y.literal), agg=agg)
+            if x.most is not None and y.most is not None and (most := x.most * y.most if op == "*" else x.most + y.most) < 1 << 63:
+                return E(f"({x.sql} {op} {y.sql})", "int", agg=agg, most=most)
+            soft = f"{ {'+': 'try_add', '-': 'try_subtract', '*': 'try_multiply'}[op]}({sx}, {sy})"
+            return E(f"({x.sql} {op} {y.sql})", "int", agg=agg, soft=soft, wide=f"({real(x)} {op} {real(y)})")
+        if isinstance(x.literal, int) and isinstance(y.literal, int):
+            if not y.literal:
+                return E("CAST(NULL AS BIGINT)", "int", agg=agg)
+            q = abs(x.literal) // abs(y.literal)
+            return replace(literal(q if (x.literal < 0) == (y.literal < 0) else -q), agg=agg)
+        if isinstance(y.literal, int) and y.literal not in (0, -1) and not x.wide:
+            return E(f"({x.sql} DIV {y.sql})", "int", agg=agg, most=x.most)
+        hard = f"CASE WHEN {y.sql} = 0 THEN NULL ELSE {x.sql} DIV {y.sql} END"
+        if not x.wide and not y.wide and x.most is not None and x.most < 1 << 63:
+            return E(hard, "int", agg=agg, most=x.most)
+        soft = f"CASE WHEN {sy} = 0 THEN NULL WHEN {sy} = -1 THEN try_subtract(0L, {sx}) ELSE {sx} DIV {sy} END"
+        return E(hard, "int", agg=agg, soft=soft, wide=f"CASE WHEN {real(y)} = 0 THEN NULL ELSE {real(x)} / {real(y)} END")
     p, q = real(x), real(y)
     if op == "/":
         return replace(number(f"CASE WHEN {q} = 0 THEN NULL ELSE {p} / {q} END"), agg=agg)
     return E(f"({p} {op} {q})", "real", agg=agg)
 
 
+def negative(a: E) -> E:
+    n = numeric(a)
+    if isinstance(n.literal, (int, float)) and n.literal is not None:
+        return replace(literal(-n.literal), agg=a.agg)
+    if n.ty == "real" or n.most is not None and n.most < 1 << 63 and not n.wide:
+        return E(f"(-{n.sql})", n.ty, agg=a.agg, most=n.most)
+    return E(f"(-{n.sql})", "int", agg=a.agg, soft=f"try_subtract(0L, {n.soft or n.sql})", wide=f"(-{real(n)})")
+
+
+def is_null(e: E) -> str:
+    return f"({real(e) if e.wide else out(e)} IS NULL)"
+
+
 def bits(op: str, a: E, b: E) -> E:
     x, y = integer(a), integer(b)
     agg = a.agg or b.agg
@@ -270,6 +314,16 @@ def compare(op: str, a: E, b: E, unaffected: bool = False) -> E:
     if a.ty == b.ty == "ts":
         return done(f"({a.sql} {op} {b.sql})")
     ra, rb = _RANK[a.ty], _RANK[b.ty]
+    if ra == rb == 1 and (a.wide or b.wide):
+        reals = f"({real(a)} {op} {real(b)})"
+        if "real" in (a.ty, b.ty):
+            i, r = (a, b) if b.ty == "real" else (b, a)
+            return done(f"coalesce({_exact(op, E(i.soft, 'int'), r, r is a)}, {reals})")
+        # A value beyond 64 bits is past every integer on its side.
+        i, j = a.soft or out(a), b.soft or out(b)
+        past = "".join(f" WHEN {x} IS NULL THEN ({f'sign({w}) {op} 0' if first else f'0 {op} sign({w})'})" for x, w, first in ((i, a.wide, True), (j, b.wide, False)) if w)
+        both = f" WHEN {i} IS NULL AND {j} IS NULL THEN {reals}" if a.wide and b.wide else ""
+        return done(f"CASE WHEN {real(a)} IS NULL OR {real(b)} IS NULL THEN NULL{both}{past} ELSE ({i} {op} {j}) END")
     if ra == rb == 1:
         if "real" in (a.ty, b.ty) and a.ty != b.ty:
             return done(_exact(op, a, b, False) if b.ty == "real" else _exact(op, b, a, True))
@@ -319,11 +373,11 @@ def is_(a: E, b: E, negated: bool) -> E:
         return boolean(f"(NOT ({s}))" if negated else f"({s})")
     agg = a.agg or b.agg
     if b.ty == "null":
-        return E(f"({out(a)} IS {'NOT ' if negated else ''}NULL)", "bool", agg=agg)
+        return E(f"(NOT {is_null(a)})" if negated else is_null(a), "bool", agg=agg)
     if a.ty == "null":
-        return E(f"({out(b)} IS {'NOT ' if negated else ''}NULL)", "bool", agg=agg)
+        return E(f"(NOT {is_null(b)})" if negated else is_null(b), "bool", agg=agg)
     eq = compare("=", a, b).sql
-    s = f"coalesce({eq}, ({out(a)} IS NULL) AND ({out(b)} IS NULL))"
+    s = f"coalesce({eq}, {is_null(a)} AND {is_null(b)})"
     return E(f"(NOT {s})" if negated else s, "bool", agg=agg)
 
 
@@ -349,44 +403,67 @@ def like(e: E, pattern: E, escape: str | None) -> E:
 
 
 def glob_regex(pattern: str) -> str | None:
-    """Java regular expression of a GLOB pattern; None if it can't match."""
+    """Java regular expression of a GLOB pattern; None if it can't match: a class is left open."""
     import re
 
+    def quoted(c: str) -> str:
+        return re.sub(r"([\\^$.|?*+()\[\]{}&-])", r"\\\1", c)
+
     out, i = [], 0
     while i < len(pattern):
         c = pattern[i]
-        if c == "*":
-            out.append(".*")
-        elif c == "?":
-            out.append(".")
+        if c in "*?":
+            out.append(".*" if c == "*" else ".")
         elif c == "[":
             j = i + 1
             negated = pattern[j : j + 1] == "^"
             j += negated
-            body = ""
+            members: list[str] = []
             if pattern[j : j + 1] == "]":
-                body, j = r"\]", j + 1
+                members, j = ["]"], j + 1
             while j < len(pattern) and pattern[j] != "]":
-                body += pattern[j] if pattern[j] == "-" and body and pattern[j + 1 : j + 2] not in ("]", "") else re.sub(r"([\[\]\\^&-])", r"\\\1", pattern[j])
+                if pattern[j] == "-" and members and pattern[j + 1 : j + 2] not in ("]", ""):
+                    # A backward range holds its first character only, which stands already.
+                    if members[-1] <= pattern[j + 1]:
+                        members.append(f"{members[-1]}-{pattern[j + 1]}")
+                    j += 2
+                    continue
+                members.append(pattern[j])
                 j += 1
             if j >= len(pattern):
                 return None
-            out.append(f"[{'^' if negated else ''}{body}]")
+            body = "".join(quoted(m) if len(m) == 1 else f"{quoted(m[0])}-{quoted(m[2])}" for m in members)
+            out.append(f"[{'^' if negated else ''}{body}]" if body else ("." if negated else "(?!)"))
             i = j
         else:
-            out.append(re.sub(r"([\\^$.|?*+()\[\]{}])", r"\\\1", c))
+            out.append(quoted(c))
         i += 1
     return "(?s)^" + "".join(out) + r"\z"
 
 
 def glob(e: E, pattern: E) -> E:
+    """A literal pattern becomes a regular expression here; one of a column is translated by Spark, piece by piece: classes
+    with their ranges (backward ones hold their first character), runs of plain characters, * and ?."""
     x = text(e)
     if isinstance(pattern.literal, str):
         r = glob_regex(pattern.literal)
         return boolean(f"CASE WHEN {x} IS NULL THEN NULL ELSE false END" if r is None else f"({x} RLIKE {lit_text(r)})", agg=e.agg)
     p = text(pattern)
-    quoted = f"regexp_replace({p}, {lit_text(r'([\\$.|+(){}])')}, {lit_text(r'\\$1')})"
-    r = f"concat('(?s)^', replace(replace({quoted}, '*', '.*'), '?', '.'), {lit_text(chr(92) + 'z')})"
+    class_ = r"\[\^?+\]?+[^\]]*+\]"
+    pieces = f"regexp_extract_all({p}, {lit_text('(?s)' + class_ + '|.')}, 0)"
+    inner = "regexp_extract(q, '(?s)^\\\\[\\\\^?(.*)\\\\]$', 1)"
+    esc = lambda v: f"regexp_replace({v}, {lit_text('([^A-Za-z0-9])')}, {lit_text(chr(92) * 2 + '$1')})"
+    ranged = f"regexp_extract_all({inner}, {lit_text('(?s)(.)-(.)|.')}, 0)"
+    member = (
+        f"CASE WHEN length(m) < 3 THEN {esc('m')} WHEN substring(m, 1, 1) <= substring(m, 3, 1) THEN concat({esc('substring(m, 1, 1)')}, '-', {esc('substring(m, 3, 1)')}) "
+        f"ELSE {esc('substring(m, 1, 1)')} END"
+    )
+    body = f"array_join(transform({ranged}, m -> {member}), '')"
+    one = (
+        f"CASE WHEN q = '*' THEN '.*' WHEN q = '?' THEN '.' WHEN length(q) > 1 THEN concat('[', CASE WHEN substring(q, 2, 1) = '^' THEN '^' ELSE '' END, {body}, ']') "
+        f"WHEN q = '[' THEN '(?!)' ELSE {esc('q')} END"
+    )
+    r = f"concat('(?s)^', array_join(transform({pieces}, q -> {one}), ''), {lit_text(chr(92) + 'z')})"
     return boolean(f"({x} RLIKE {r})", agg=e.agg)
 
 
@@ -501,7 +578,11 @@ def stamp(args: list[E]) -> str:
         w = m.literal.lower().split()
         if w[:2] == ["start", "of"] and w[2:] in (["day"], ["month"], ["year"]):
             t = f"date_trunc('{w[2]}', {t})"
-        elif len(w) == 2 and w[1].rstrip("s") in ("day", "month", "year", "hour", "minute", "second"):
+        elif len(w) == 2 and w[1].rstrip("s") in ("month", "year"):
+            # A day beyond the month's end runs on into the next month.
+            months = int(w[0]) * (12 if w[1].startswith("year") else 1)
+            t = f"(date_trunc('month', {t}) + INTERVAL '{months}' MONTH + make_dt_interval(day({t}) - 1) + ({t} - date_trunc('day', {t})))"
+        elif len(w) == 2 and w[1].rstrip("s") in ("day", "hour", "minute", "second"):
             t = f"({t} + INTERVAL '{float(w[0]) if w[1].startswith('second') else int(w[0])}' {w[1].rstrip('s').upper()})"
         elif w == ["unixepoch"]:
             t = f"timestamp_seconds({integer(args[0])})"
@@ -534,8 +615,12 @@ def strftime(fmt: E, args: list[E]) -> E:
             parts.append(f"CAST(dayofweek({t}) - 1 AS STRING)")
         elif c == "s":
             parts.append(f"CAST(unix_seconds({t}) AS STRING)")
+        elif c == "W":  # weeks of the year from its first Monday
+            parts.append(f"lpad(CAST((dayofyear({t}) + 6 - (dayofweek({t}) + 5) % 7) DIV 7 AS STRING), 2, '0')")
+        elif c == "J":
+            parts.append(real_text(f"(unix_millis({t}) / 86400000D + 2440587.5D)"))
         else:
-            return literal(None)
+            raise SqlError(f"unsupported strftime conversion %{c}")
     if plain:
         parts.append(lit_text(plain))
     return E(f"CASE WHEN {t} IS NOT NULL THEN concat({', '.join(parts)}) END" if parts else "''", "text")
@@ -556,6 +641,8 @@ def call(name: str, args: list[E], state: dict) -> E:
     if name == "typeof":
         arity(1)
         kind = {"int": "integer", "bool": "integer", "ts": "text"}.get(args[0].ty, args[0].ty)
+        if args[0].wide:
+            return made(f"CASE WHEN {args[0].soft} IS NOT NULL THEN 'integer' WHEN {args[0].wide} IS NOT NULL THEN 'real' ELSE 'null' END", "text")
         return made("'null'" if kind == "null" else f"CASE WHEN {args[0].sql} IS NULL THEN 'null' ELSE '{kind}' END", "text")
     if name == "length":
         arity(1)

@@ -10,6 +10,7 @@ from sedge.sql.lexer import SqlError
 from sedge.sql.lower import Column, Lowering, Rel
 from sedge.sql.parser import N
 
+#: Levels of a recursion at most, on either path; rows are not bounded.
 LEVELS = 100_000
 
 
@@ -37,6 +38,8 @@ def recursive(low: Lowering, state) -> Rel:
         raise SqlError(f"table {state.cte.name} has {len(base.columns)} values for {len(names)} columns")
     columns = widened(low, state, base, steps, names)
     limit = low.limits(q)
+    if isinstance(limit, tuple):
+        raise SqlError("LIMIT and OFFSET of a recursive term are at most 2147483647")
     order = low.compound_order(q, Rel(base.sql, columns)) if q.order and limit else []
     if ops[0] == "union all" and len(steps) == 1 and not steps[0].distinct:
         rel = native(low, state, base, steps[0], columns, names)
@@ -82,6 +85,7 @@ def native(low, state, base, step, columns, names) -> Rel:
     name = low.fresh("rec")
     body = step_rel(low, state, step, f"SELECT * FROM {name}", columns, names)
     cols = ", ".join(f"c{i}" for i in range(len(columns)))
+    low.catalog.spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
     low.heads.append(f"{name}({cols}) MAX RECURSION LEVEL {LEVELS} AS ({aligned(low, base, columns)} UNION ALL {aligned(low, body, columns)})")
     return Rel(f"SELECT * FROM {name}", columns)
 

@@ -106,6 +106,19 @@ ENTRIES: list[tuple[str, str, str | None]] = [
     ("derived_alias", "SELECT d.k, d.\"k:1\" AS k2 FROM (SELECT n_nationkey AS k, n_regionkey AS k FROM nation) d", "SELECT n_nationkey AS k, n_regionkey AS k2 FROM nation"),
     ("int_div_mod", "SELECT o_orderkey, o_orderkey / 7 AS d, -o_orderkey / 7 AS nd, o_orderkey % 5 AS m, o_orderkey / 0 AS z, o_orderkey % 0 AS zm, 7.0 / 2 AS r FROM orders",
      "SELECT o_orderkey, o_orderkey // 7 AS d, -o_orderkey // 7 AS nd, o_orderkey % 5 AS m, CAST(NULL AS BIGINT) AS z, CAST(NULL AS BIGINT) AS zm, CAST(3.5 AS DOUBLE) AS r FROM orders"),
+    ("overflow_add", "WITH v(x) AS (VALUES (9223372036854775807), (-9223372036854775808), (5), (NULL)) SELECT x, typeof(x + 1) AS t, CAST(x + 1 AS REAL) AS r, x + 1 > x AS more, CAST(x - 1 AS REAL) AS less, typeof(x + x) AS twice FROM v",
+     "WITH v(x) AS (VALUES (9223372036854775807::BIGINT), ((-9223372036854775807 - 1)::BIGINT), (5), (NULL)) SELECT x, CASE WHEN x IS NULL THEN 'null' WHEN x::HUGEINT + 1 > 9223372036854775807 THEN 'real' ELSE 'integer' END AS t, CAST(x::HUGEINT + 1 AS DOUBLE) AS r, CASE WHEN x IS NOT NULL THEN CAST(1 AS BIGINT) END AS more, CAST(x::HUGEINT - 1 AS DOUBLE) AS less, CASE WHEN x IS NULL THEN 'null' WHEN abs(2 * x::HUGEINT) > 9223372036854775807 THEN 'real' ELSE 'integer' END AS twice FROM v"),
+    ("overflow_mul", "SELECT o_orderkey, typeof((o_orderkey + 4000000000) * (o_custkey + 2400000000)) AS t, CAST((o_orderkey + 4000000000) * (o_custkey + 2400000000) AS REAL) AS r FROM orders",
+     "SELECT o_orderkey, CASE WHEN (o_orderkey::HUGEINT + 4000000000) * (o_custkey + 2400000000) > 9223372036854775807 THEN 'real' ELSE 'integer' END AS t, CASE WHEN (o_orderkey::HUGEINT + 4000000000) * (o_custkey + 2400000000) > 9223372036854775807 THEN (o_orderkey + 4000000000)::DOUBLE * (o_custkey + 2400000000)::DOUBLE ELSE CAST((o_orderkey::HUGEINT + 4000000000) * (o_custkey + 2400000000) AS DOUBLE) END AS r FROM orders"),
+    ("neg_min", "WITH v(x) AS (VALUES (-9223372036854775808), (7)) SELECT x, typeof(-x) AS n, CAST(-x AS REAL) AS r, typeof(x / -1) AS d, x / -2 AS h, -9223372036854775808 / -1 AS c FROM v",
+     "WITH v(x) AS (VALUES ((-9223372036854775807 - 1)::BIGINT), (7)) SELECT x, CASE WHEN x < -9 THEN 'real' ELSE 'integer' END AS n, CAST(-(x::HUGEINT) AS DOUBLE) AS r, CASE WHEN x < -9 THEN 'real' ELSE 'integer' END AS d, CASE WHEN x < -9 THEN 4611686018427387904 ELSE CAST(-3 AS BIGINT) END AS h, CAST(9223372036854775808 AS DOUBLE) AS c FROM v"),
+    ("glob_column_class", "SELECT p_partkey, p_brand GLOB CASE WHEN p_partkey % 3 = 0 THEN 'Brand#[1-3]?' WHEN p_partkey % 3 = 1 THEN '*[^2-4]' ELSE 'Brand#[5-1]*' END AS g, p_brand GLOB CASE WHEN p_size < 25 THEN '[' ELSE 'B*[]1' END AS open FROM part",
+     "SELECT p_partkey, CAST(regexp_full_match(p_brand, CASE WHEN p_partkey % 3 = 0 THEN 'Brand#[1-3].' WHEN p_partkey % 3 = 1 THEN '.*[^2-4]' ELSE 'Brand#5.*' END) AS BIGINT) AS g, CAST(0 AS BIGINT) AS open FROM part"),
+    ("recursive_million", "WITH RECURSIVE c(x) AS (SELECT 1 UNION ALL SELECT x + 1 FROM c WHERE x < 2500), d(a, b) AS (SELECT c.x, 1 FROM c UNION ALL SELECT a, b + 1 FROM d WHERE b < 500) SELECT count(*) AS n, max(a) AS m, max(b) AS k FROM d",
+     "SELECT CAST(1250000 AS BIGINT) AS n, CAST(2500 AS BIGINT) AS m, CAST(500 AS BIGINT) AS k"),
+    ("limit_far", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 9223372036854775807 OFFSET 100", "SELECT o_orderkey FROM orders ORDER BY o_orderkey OFFSET 100"),
+    ("date_overflow_of_months", "SELECT o_orderkey, date(o_orderdate, 'start of month', '+30 days', '+1 month') AS d, strftime('%W', o_orderdate) AS w FROM orders",
+     "WITH d AS (SELECT o_orderkey, o_orderdate, date_trunc('month', o_orderdate) + INTERVAL 30 DAY AS x FROM orders) SELECT o_orderkey, strftime(date_trunc('month', x) + INTERVAL 1 MONTH + to_days(CAST(day(x) - 1 AS INTEGER)), '%Y-%m-%d') AS d, strftime(o_orderdate, '%W') AS w FROM d"),
     ("overflow_to_real", "SELECT 9223372036854775807 + 0.0 AS a, 9223372036854775808 AS b, 9223372036854775807 > 9223372036854775807.0 AS c", "SELECT CAST(9223372036854775807 AS DOUBLE) AS a, CAST(9223372036854775808 AS DOUBLE) AS b, CAST(0 AS BIGINT) AS c"),
     ("bitops_shift", "SELECT p_partkey, p_size & 6 AS a, p_size | 8 AS b, ~p_size AS c, p_size << 2 AS d, p_size >> 1 AS e, p_size << -1 AS f, p_size << 64 AS g, -p_size >> 70 AS h FROM part",
      "SELECT p_partkey, CAST(p_size & 6 AS BIGINT) AS a, CAST(p_size | 8 AS BIGINT) AS b, CAST(-p_size - 1 AS BIGINT) AS c, CAST(p_size * 4 AS BIGINT) AS d, CAST(p_size // 2 AS BIGINT) AS e, CAST(p_size // 2 AS BIGINT) AS f, CAST(0 AS BIGINT) AS g, CAST(CASE WHEN p_size = 0 THEN 0 ELSE -1 END AS BIGINT) AS h FROM part"),
@@ -177,6 +190,16 @@ SCRIPTS: list[tuple[str, str, str]] = [
      "SELECT n_name AS a, CAST(n_regionkey AS BIGINT) AS b, CAST(CASE WHEN n_nationkey = 1 THEN 99 ELSE n_nationkey END AS BIGINT) AS v FROM nation"),
     ("strict_table", "CREATE TABLE k(i INT, r REAL, s TEXT) STRICT; INSERT INTO k SELECT n_nationkey, n_regionkey, n_name FROM nation; SELECT i, r, s FROM k", "SELECT CAST(n_nationkey AS BIGINT) AS i, CAST(n_regionkey AS DOUBLE) AS r, n_name AS s FROM nation"),
     ("expression_index", "CREATE TABLE e(x TEXT, act INT); CREATE UNIQUE INDEX ix ON e(lower(x)) WHERE act; INSERT OR IGNORE INTO e VALUES ('A', 1), ('a', 1), ('a', 0), ('A', 0); SELECT x, act FROM e", "SELECT * FROM (VALUES ('A', CAST(1 AS BIGINT)), ('a', 0), ('A', 0)) t(x, act)"),
+    ("upsert_two_targets", _T + "INSERT INTO t VALUES (3, 'fresh', 50), (60, 'nation_7', 1), (61, 'new', 2), (61, 'newer', 3) ON CONFLICT(id) DO UPDATE SET n = excluded.n ON CONFLICT(a) DO UPDATE SET n = n + 100; SELECT id, a, n FROM t",
+     "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS a, CAST(CASE n_nationkey WHEN 3 THEN 50 WHEN 7 THEN n_regionkey + 100 ELSE n_regionkey END AS BIGINT) AS n FROM nation UNION ALL SELECT 61, 'new', 3"),
+    ("update_lineitem", "CREATE TABLE l AS SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem; UPDATE l SET l_quantity = l_quantity * 2, l_returnflag = 'X' WHERE l_orderkey % 5 = 0; DELETE FROM l WHERE l_quantity > 90; SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 2) AS q FROM l GROUP BY 1",
+     "WITH u AS (SELECT CASE WHEN l_orderkey % 5 = 0 THEN l_quantity * 2 ELSE l_quantity END AS q, CASE WHEN l_orderkey % 5 = 0 THEN 'X' ELSE l_returnflag END AS f FROM lineitem) SELECT f AS l_returnflag, count(*) AS n, round(sum(q), 2) AS q FROM u WHERE NOT q > 90 GROUP BY 1"),
+    ("upsert_orders", "CREATE TABLE c(k INTEGER PRIMARY KEY, n INT, total INT, latest INT); INSERT INTO c SELECT c_custkey, 0, 0, -1 FROM customer WHERE c_custkey % 2 = 0; INSERT INTO c SELECT o_custkey, 1, o_orderkey, o_orderkey FROM orders WHERE true ORDER BY o_orderkey ON CONFLICT(k) DO UPDATE SET n = n + excluded.n, total = total + excluded.total, latest = excluded.latest WHERE excluded.latest % 10 > 0; SELECT k, n, total, latest FROM c",
+     "WITH e AS (SELECT c_custkey AS k, 0 AS n, 0::BIGINT AS v, -1::BIGINT AS o FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT o_custkey, 1, o_orderkey, o_orderkey FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY o) AS i FROM e) SELECT CAST(k AS BIGINT) AS k, CAST(sum(n) AS BIGINT) AS n, CAST(sum(v) AS BIGINT) AS total, CAST(max(o) AS BIGINT) AS latest FROM r WHERE i = 1 OR o % 10 > 0 GROUP BY k"),
+    ("pragma_expression_default", "CREATE TABLE u(a text, b int DEFAULT ( 1 + 2 ), c DEFAULT 'it''s', d REAL DEFAULT -5); PRAGMA table_info(u)",
+     "SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'a', 'TEXT', CAST(0 AS BIGINT), NULL, CAST(0 AS BIGINT)), (1, 'b', 'INT', 0, '1 + 2', 0), (2, 'c', '', 0, '''it''''s''', 0), (3, 'd', 'REAL', 0, '-5', 0)) t(cid, name, type, \"notnull\", dflt_value, pk)"),
+    ("pragma_index_desc", _T + "CREATE INDEX ix ON t(n DESC, a); PRAGMA index_xinfo(ix)",
+     "SELECT * FROM (VALUES (CAST(0 AS BIGINT), CAST(2 AS BIGINT), 'n', CAST(1 AS BIGINT), 'BINARY', CAST(1 AS BIGINT)), (1, 1, 'a', 0, 'NOCASE', 1), (2, -1, NULL, 0, 'BINARY', 0)) t(seqno, cid, name, \"desc\", coll, key)"),
     ("pragma_table_info", _T + "PRAGMA table_info(t)", "SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'id', 'INTEGER', CAST(0 AS BIGINT), NULL, CAST(1 AS BIGINT)), (1, 'a', 'TEXT', 0, NULL, 0), (2, 'n', 'NUMERIC', 0, '12', 0)) t(cid, name, type, \"notnull\", dflt_value, pk)"),
 ]
 

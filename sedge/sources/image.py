@@ -36,6 +36,47 @@ def _signed(n: int) -> int:
     return n - (1 << 64) if n >= 1 << 63 else n
 
 
+def _sums(data: bytes, order: str, sums: tuple[int, int]) -> tuple[int, int]:
+    """The running checksum of a write-ahead log over pairs of 32-bit words."""
+    a, b = sums
+    words = struct.unpack(f"{order}{len(data) // 4}I", data)
+    for x, y in zip(words[::2], words[1::2]):
+        a = a + x + b & 0xFFFFFFFF
+        b = b + y + a & 0xFFFFFFFF
+    return a, b
+
+
+def recovered(data: bytes, log: bytes) -> bytes:
+    """An image with the committed frames of its write-ahead log laid over it. Frames count up to the last commit before the
+    first one whose salt or checksum is wrong."""
+    if len(log) < 32 or log[:4] not in (b"\x37\x7f\x06\x82", b"\x37\x7f\x06\x83"):
+        raise ImageError("no write-ahead log")
+    order = "<" if log[3] == 0x82 else ">"
+    version, size = struct.unpack(">II", log[4:12])
+    if version != 3_007_000 or size not in [512 << i for i in range(8)]:
+        raise ImageError("unsupported write-ahead log")
+    if data and (data[:16] != MAGIC or (struct.unpack(">H", data[16:18])[0] or 65536) not in (size, 1 if size == 65536 else size)) or len(data) % size:
+        raise ImageError("the log has another page size")
+    sums = _sums(log[:24], order, (0, 0))
+    if struct.pack(">II", *sums) != log[24:32]:
+        raise ImageError("the log's header has a wrong checksum")
+    frames, committed, pages, at = [], 0, len(data) // size, 32
+    while at + 24 + size <= len(log):
+        number, after = struct.unpack(">II", log[at : at + 8])
+        sums = _sums(log[at + 24 : at + 24 + size], order, _sums(log[at : at + 8], order, sums))
+        if not number or log[at + 8 : at + 16] != log[16:24] or struct.pack(">II", *sums) != log[at + 16 : at + 24]:
+            break
+        frames.append((number, at + 24))
+        if after:
+            committed, pages = len(frames), after
+        at += 24 + size
+    out = bytearray(data[: pages * size].ljust(pages * size, b"\0"))
+    for number, start in frames[:committed]:
+        if number <= pages:
+            out[(number - 1) * size : number * size] = log[start : start + size]
+    return bytes(out)
+
+
 class Image:
     def __init__(self, data: bytes):
         if data[:16] != MAGIC or len(data) < 512:
@@ -46,6 +87,7 @@ class Image:
             raise ImageError("bad page size")
         self.usable = self.page_size - data[20]
         self.encoding = _ENCODINGS.get(struct.unpack(">I", data[56:60])[0], "utf-8")
+        self.schema_format = struct.unpack(">I", data[44:48])[0]
         self.user_version, self.application_id = struct.unpack(">i", data[60:64])[0], struct.unpack(">i", data[68:72])[0]
         self.data, self.pages = data, len(data) // self.page_size
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import copy
 from dataclasses import dataclass, field, replace
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +27,10 @@ STRICT_TYPES = {"INT": "int", "INTEGER": "int", "REAL": "real", "TEXT": "text",
 ROWID = "_rowid_"
 
 
+#: Type names that are shown in capitals, however they were written.
+STANDARD_TYPES = ("ANY", "BLOB", "INT", "INTEGER", "REAL", "TEXT")
+
+
 class ConstraintError(SqlError):
     """A constraint does not hold."""
 
@@ -35,6 +40,7 @@ class TableColumn(Column):
     declared: str = ""
     notnull: str | None = None
     default: Node | None = None
+    default_text: str | None = None
     generated: Node | None = None
     stored: bool = False
     pk: int = 0
@@ -50,6 +56,7 @@ class Key:
     where: Node | None = None
     origin: str = "c"
     unique: bool = True
+    desc: tuple[bool, ...] = ()
 
 
 @dataclass
@@ -134,6 +141,9 @@ class Connection:
         self.spark, self.catalog = spark, Catalog(spark)
         self.state = {"changes": 0, "total_changes": 0, "last_insert_rowid": 0}
         self.saves: list[tuple[str | None, object]] = []  # (savepoint or None for BEGIN, snapshot)
+        self.sink = None  # is called with the connection when changes are committed
+        self.stored: dict[str, tuple] = {}  # the frame of a table and the version in a folder that holds it
+        self._dirty = False
 
     # --- entry points ---
 
@@ -179,17 +189,37 @@ class Connection:
             if len(bound) > s.highest:
                 raise SqlError("too many parameters")
         if s.kind in ("begin", "commit", "rollback", "savepoint", "release", "rollback_to"):
-            return getattr(self, f"s_{s.kind}")(s)
+            result = getattr(self, f"s_{s.kind}")(s)
+            self._dirty = self._dirty and s.kind != "rollback"
+            self._kept_in_sink()
+            return result
         held = self.catalog.snapshot()
         try:
-            return getattr(self, f"s_{s.kind}")(s, self.lowering(bound))
-        except Exception:
-            if getattr(s, "policy", None) != "fail" or not getattr(s, "_kept", False):
+            result = getattr(self, f"s_{s.kind}")(s, self.lowering(bound))
+        except Exception as e:
+            kept = getattr(s, "policy", None) == "fail" and getattr(s, "_kept", False)
+            if kept:
+                self._dirty = True
+                self._kept_in_sink()
+            else:
                 self.catalog.restore(held)
             if getattr(s, "policy", None) == "rollback" and self.saves:
                 self.catalog.restore(self.saves[0][1])
                 self.saves.clear()
+                self._dirty = False
+            if isinstance(e, PySparkException):  # what a statement's own jobs or the analysis of its text meet
+                raise SqlError(str(e).split("\n")[0]) from e
             raise
+        if s.kind not in ("query", "explain") and (s.kind != "pragma" or s.arg is not None):
+            self._dirty = True
+            self._kept_in_sink()
+        return result
+
+    def _kept_in_sink(self) -> None:
+        """Hands committed changes on, as soon as no transaction is open."""
+        if self._dirty and not self.saves and self.sink is not None:
+            self.sink(self)
+            self._dirty = False
 
     def lowering(self, params=None) -> Lowering:
         return Lowering(self.catalog, params, self.state)
@@ -287,7 +317,7 @@ class Connection:
             else:
                 ty = {"int": "int", "real": "real", "text": "text"}.get(aff, "null")
             S.collated("", c.collate)
-            columns.append(TableColumn(c.name, ty, aff, c.collate, declared=c.type, notnull=c.notnull, default=c.default, generated=c.generated, stored=c.stored))
+            columns.append(TableColumn(c.name, ty, aff, c.collate, declared=c.type, notnull=c.notnull, default=c.default, default_text=c.default_text, generated=c.generated, stored=c.stored))
             checks += c.checks
             if c.primary:
                 primary.append(N("primary", terms=[N("term", expr=N("name", table=None, name=c.name, quoted=False), desc=False, nulls=None)], policy=c.primary[0], label=None, column=c))
@@ -312,12 +342,12 @@ class Connection:
                 t.autoincrement = bool(of is not None and of.autoincrement)
             elif of is not None and of.autoincrement:
                 raise SqlError("AUTOINCREMENT is only allowed on an INTEGER PRIMARY KEY")
-            keys.insert(0, Key(f"sqlite_autoindex_{s.name}_1", [x.expr for x in p.terms], p.policy, origin="pk"))
+            keys.insert(0, Key(f"sqlite_autoindex_{s.name}_1", [x.expr for x in p.terms], p.policy, origin="pk", desc=tuple(bool(x.desc) for x in p.terms)))
         if s.without_rowid and not primary:
             raise SqlError(f"PRIMARY KEY missing on table {s.name}")
         for c in s.constraints:
             if c.kind == "unique":
-                keys.append(Key(f"sqlite_autoindex_{s.name}_{len(keys) + 1}", [x.expr for x in c.terms], c.policy, origin="u"))
+                keys.append(Key(f"sqlite_autoindex_{s.name}_{len(keys) + 1}", [x.expr for x in c.terms], c.policy, origin="u", desc=tuple(bool(x.desc) for x in c.terms)))
             elif c.kind == "check":
                 checks.append((c.label, c.expr))
         t.keys, t.checks = keys, checks
@@ -370,7 +400,7 @@ class Connection:
                 return Result([], None)
             raise SqlError(f"index {s.name} already exists")
         t = self._table(s.table)
-        k = Key(s.name, [x.expr for x in s.terms], "abort", s.where, "c", s.unique)
+        k = Key(s.name, [x.expr for x in s.terms], "abort", s.where, "c", s.unique, tuple(bool(x.desc) for x in s.terms))
         new = replace(t, keys=[*t.keys, k])
         self._bind_checks(new)
         if s.unique and not self._duplicates(new, new.df, k).isEmpty():
@@ -454,7 +484,7 @@ class Connection:
         if c.notnull and c.default is None and c.generated is None and not t.df.isEmpty():
             raise SqlError("Cannot add a NOT NULL column with default value NULL")
         aff = S.affinity(c.type)
-        col = TableColumn(c.name, {"int": "int", "real": "real", "text": "text"}.get(aff, "null"), aff, c.collate, declared=c.type, notnull=c.notnull, default=c.default, generated=c.generated, stored=c.stored)
+        col = TableColumn(c.name, {"int": "int", "real": "real", "text": "text"}.get(aff, "null"), aff, c.collate, declared=c.type, notnull=c.notnull, default=c.default, default_text=c.default_text, generated=c.generated, stored=c.stored)
         new = replace(t, columns=[*t.columns, col], checks=[*t.checks, *c.checks])
         if c.generated is not None:
             e = self.lowering().expr(c.generated, self._scope(t, "t"))
@@ -546,15 +576,16 @@ class Connection:
 
     def _numbered(self, df: DataFrame, start: int, column: str = ROWID) -> tuple[DataFrame, int]:
         """df written with row numbers from start + 1 in its order, counted by partition; and the number of its rows."""
-        staged = written(df.withColumn("_m", F.monotonically_increasing_id()), "batch")
-        counts = {r["p"]: r["n"] for r in staged.groupBy(F.shiftright("_m", 33).alias("p")).agg(F.count("*").alias("n")).collect()}  # a row for each partition
-        total, pairs = 0, []
-        for p in sorted(counts):
-            pairs += [F.lit(p), F.lit(total)]
-            total += counts[p]
-        before = F.element_at(F.create_map(*pairs), F.shiftright("_m", 33)) if pairs else F.lit(0)
-        place = (F.lit(start + 1) + before + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")
-        return staged.withColumn(column, place).drop("_m"), total
+        staged = written(df.withColumn("_m", F.monotonically_increasing_id()), "batch").withColumn("_p", F.shiftright("_m", 33))
+        counts = staged.groupBy("_p").agg(F.count("*").alias("_n")).orderBy("_p").collect()  # a row for each partition
+        total, before = 0, []
+        for r in counts:
+            before.append((r["_p"], total))
+            total += r["_n"]
+        ahead = F.broadcast(self.spark.createDataFrame(before, "_p long, _before long"))
+        place = (F.lit(start + 1) + F.col("_before") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")
+        names = [c for c in staged.columns if c not in ("_m", "_p")]
+        return staged.join(ahead, "_p").select(*[F.col(f"`{n}`") for n in names if n != column], place.alias(column)), total
 
     def s_insert(self, s, low):
         t = self._table(s.table)
@@ -600,7 +631,7 @@ class Connection:
         t = self._retyped(t, types)
         df = written(self._generate(t, df), "insert")
         if s.upserts:
-            return self._upsert(s, t, df)
+            return self._upsert(s, t, df, start if ROWID not in given and (t.rowid_alias is None or t.rowid_alias not in given) else None)
         old, new = self._settle(s, t, t.df, df, s.policy, None)
         if "ignore" in {s.policy, *(k.policy for k in t.keys)} and ROWID not in given and (t.rowid_alias is None or t.rowid_alias not in given):
             new = self._closed_up(t, new, start)
@@ -795,52 +826,119 @@ class Connection:
 
     # --- upsert ---
 
-    def _upsert(self, s, t: Table, batch: DataFrame) -> Result:
-        """Rows that share a key are taken in rounds, the first of each key, then the second, so that each sees what came before it."""
+    def _upsert(self, s, t: Table, batch: DataFrame, start: int | None) -> Result:
+        """Clauses in their order, each for one unique key; one without a target stands for all keys that are left.
+        start: the highest row number before, where new rows get the next ones."""
         low = self.lowering()
         scope = self._scope(t, "x")
-        u = s.upserts[0]
         keys = [k for k in t.keys if k.unique]
-        if u.target is not None:
+        clauses: list[tuple[Key, object]] = []
+        for u in s.upserts:
+            if u.target is None:
+                if u is not s.upserts[-1]:
+                    raise SqlError("only the last ON CONFLICT clause may have no target")
+                clauses += [(k, u) for k in keys if all(k is not c for c, _ in clauses)]
+                continue
             want = sorted(low.expr(x.expr, scope).sql for x in u.target)
             key = next((k for k in keys if sorted(low.expr(e, scope).sql for e in k.terms) == want), None)
             if key is None:
                 raise SqlError("ON CONFLICT clause does not match any PRIMARY KEY or UNIQUE constraint")
-        elif u.sets is None or len(keys) == 1:
-            key = keys[0] if len(keys) == 1 else None
-        else:
-            raise SqlError("ON CONFLICT DO UPDATE needs a target here")
-        if u.sets is None and key is None:
-            start = self._high(t)
+            if all(key is not c for c, _ in clauses):
+                clauses.append((key, u))
+        if len(s.upserts) == 1 and s.upserts[0].target is None and s.upserts[0].sets is None:
             old, new = self._settle(s, t, t.df, batch, "ignore", None)
-            return self._changed(s, t, old, self._closed_up(t, new, start), n_last=True)
+            return self._changed(s, t, old, self._closed_up(t, new, start) if start is not None else new, n_last=True)
+        if len(clauses) == 1 and not any(c.generated is not None for c in t.columns) and not _has_query(s.upserts):
+            new = self._folded(s, t, batch, *clauses[0])
+        else:
+            new = self._in_rounds(s, t, batch, clauses)
+        if start is not None:
+            came = self._closed_up(t, new.where("_was IS NULL").drop("_was"), start).withColumn("_was", F.lit(None).cast("long"))
+            new = new.where("_was IS NOT NULL").unionByName(came)
+        old = t.df.join(new.select(F.col("_was").alias("_gone")).where("_gone IS NOT NULL"), F.col(ROWID) == F.col("_gone"), "left_anti")
+        old, new = self._settle(s, t, old, new.drop("_was"), s.policy, None)
+        return self._changed(s, t, old, new, n_last=True)
+
+    def _both(self, s, t: Table) -> Scope:
+        """The stored row as b, the one that came as a, which is also `excluded`."""
+        own = self._scope(t, "b", [t.name.lower(), (s.alias or t.name).lower()]).fields
+        return Scope([*own, *[replace(f, quals=frozenset(["excluded"]), merged=True) for f in self._scope(t, "a").fields if not f.hidden]])
+
+    def _folded(self, s, t: Table, batch: DataFrame, key: Key, u) -> DataFrame:
+        """The rows that change, with the identifier of the stored row they take the place of in _was: the rows of a key are
+        folded in their order over the stored one, in one pass."""
+        low = self.lowering()
         a, where_a = self._key_sql(t, key, "a")
+        b, where_b = self._key_sql(t, key, "b")
         batch.createOrReplaceTempView("sedge_new")
-        ranked = written(self.spark.sql(f"SELECT a.*, CASE WHEN {where_a} THEN row_number() OVER (PARTITION BY {', '.join(a)} ORDER BY a._ord) ELSE 1 END AS _n FROM sedge_new a"), "upsert")
-        rounds = ranked.agg(F.max("_n")).first()[0] or 0
-        state = t.df.withColumn("_ord", F.lit(None).cast("long"))
-        for r in range(1, rounds + 1):
-            now = ranked.where(F.col("_n") == r).drop("_n")
-            state.createOrReplaceTempView("sedge_old")
-            now.createOrReplaceTempView("sedge_new")
-            b, where_b = self._key_sql(t, key, "b")
-            on = " AND ".join(f"{x} = {y}" for x, y in zip(a, b))
-            fresh = self.spark.sql(f"SELECT a.* FROM sedge_new a LEFT ANTI JOIN (SELECT * FROM sedge_old b WHERE {where_b}) b ON {where_a} AND {on}")
-            if u.sets is None:
-                state = written(state.unionByName(fresh), "upsert")
-                continue
-            both = Scope([*self._scope(t, "b", [t.name.lower(), (s.alias or t.name).lower()]).fields, *[replace(f, quals=frozenset(["excluded"]), merged=True) for f in self._scope(t, "a").fields if not f.hidden]])
+        t.df.createOrReplaceTempView("sedge_old")
+        names = [*[c.label for c in t.columns], ROWID]
+        kinds = {f.name: f.dataType.simpleString() for f in batch.schema.fields}
+
+        def row(cells: dict[str, str], ord_: str, was: str) -> str:
+            inner = ", ".join(f"'{n}', CAST({cells[n]} AS {kinds[n]})" for n in names)
+            return f"named_struct('_ord', CAST({ord_} AS BIGINT), {inner}, '_was', CAST({was} AS BIGINT))"
+
+        each = row({n: f"a.`{n}`" for n in names}, "a._ord", "NULL")
+        same = " AND ".join(f"g.k{i} = {y}" for i, y in enumerate(b))
+        groups = f"SELECT {', '.join(f'{x} AS k{i}' for i, x in enumerate(a))}, array_sort(collect_list({each}), (l, r) -> CASE WHEN l._ord < r._ord THEN -1 WHEN l._ord > r._ord THEN 1 ELSE 0 END) AS items FROM sedge_new a WHERE {where_a} GROUP BY {', '.join(a)}"
+        first = f"CASE WHEN b.`{ROWID}` IS NULL THEN g.items[0] ELSE {row({n: f'b.`{n}`' for n in names}, 'NULL', f'b.`{ROWID}`')} END"
+        if u.sets is None:
+            folded = first
+        else:
+            both = self._both(s, t)
             sets, _ = self._sets(u.sets, t, low, both)
             when = S.truth(low.expr(u.when, both)) if u.when is not None else "true"
-            hit = f"a._ord IS NOT NULL AND coalesce({when}, false)"
-            cells = [f"CASE WHEN {hit} THEN {sets[c.label]} ELSE b.`{c.label}` END AS `{c.label}`" if c.label in sets else f"b.`{c.label}`" for c in t.columns if c.generated is None]
-            rid = f"CASE WHEN {hit} THEN {sets[t.rowid_alias]} ELSE b.`{ROWID}` END" if t.rowid_alias in sets else f"b.`{ROWID}`"
-            updated = self.spark.sql(f"SELECT {', '.join(cells)}, {rid} AS `{ROWID}`, CASE WHEN {hit} THEN a._ord ELSE b._ord END AS _ord FROM sedge_old b LEFT JOIN (SELECT * FROM sedge_new a WHERE {where_a}) a ON {where_b} AND {on}")
-            state = written(self._generate(t, updated).unionByName(fresh), "upsert")
-        new = state.where("_ord IS NOT NULL")
-        old = state.where("_ord IS NULL").drop("_ord")
-        old, new = self._settle(s, t, old, new, s.policy, None)
-        return self._changed(s, t, old, new, n_last=True)
+            cells = {n: sets.get(n, f"b.`{n}`") for n in names}
+            cells[ROWID] = sets.get(t.rowid_alias, cells[ROWID]) if t.rowid_alias else cells[ROWID]
+            step = f"CASE WHEN coalesce({when}, false) THEN {row(cells, 'a._ord', 'b._was')} ELSE b END"
+            rest = f"CASE WHEN b.`{ROWID}` IS NULL THEN slice(g.items, 2, greatest(size(g.items) - 1, 1)) ELSE g.items END"
+            folded = f"aggregate({rest}, {first}, (b, a) -> {step})"
+        alone = f"SELECT {each} AS r FROM sedge_new a WHERE NOT coalesce({where_a}, false)"
+        sql = f"SELECT r.* FROM (SELECT {folded} AS r FROM ({groups}) g LEFT JOIN (SELECT * FROM sedge_old b WHERE {where_b}) b ON {same} UNION ALL {alone}) WHERE r._ord IS NOT NULL"
+        return written(self.spark.sql(sql), "upsert")
+
+    def _in_rounds(self, s, t: Table, batch: DataFrame, clauses: list) -> DataFrame:
+        """As _folded, for several keys: rounds of the rows that come first under each of their keys, over the stored rows that any
+        of them meets."""
+        low = self.lowering()
+        sql = {}
+        for k, _ in clauses:
+            sql[id(k)] = (*self._key_sql(t, k, "a"), *self._key_sql(t, k, "b"))
+        batch.createOrReplaceTempView("sedge_new")
+        t.df.createOrReplaceTempView("sedge_old")
+
+        def on(k: Key) -> str:
+            a, where_a, b, where_b = sql[id(k)]
+            return f"{where_a} AND {where_b} AND " + " AND ".join(f"{x} = {y}" for x, y in zip(a, b))
+
+        met = " UNION ".join(f"SELECT b.`{ROWID}` AS _id FROM sedge_old b LEFT SEMI JOIN sedge_new a ON {on(k)}" for k, _ in clauses)
+        state = written(self.spark.sql(f"SELECT b.*, CAST(NULL AS BIGINT) AS _ord, b.`{ROWID}` AS _was FROM sedge_old b LEFT SEMI JOIN ({met}) m ON b.`{ROWID}` = m._id"), "upsert")
+        names = state.columns
+        left = batch.withColumn("_was", F.lit(None).cast("long"))
+        while not left.isEmpty():
+            left.createOrReplaceTempView("sedge_left")
+            places = ", ".join(f"CASE WHEN {sql[id(k)][1]} THEN row_number() OVER (PARTITION BY {', '.join(sql[id(k)][0])} ORDER BY a._ord) ELSE 1 END AS _n{i}" for i, (k, _) in enumerate(clauses))
+            ranked = written(self.spark.sql(f"SELECT a.*, {places} FROM sedge_left a"), "upsert")
+            first = " AND ".join(f"_n{i} = 1" for i in range(len(clauses)))
+            now = ranked.where(first).select(*names)
+            left = ranked.where(f"NOT ({first})").select(*names)
+            for k, u in clauses:
+                now.createOrReplaceTempView("sedge_now")
+                state.createOrReplaceTempView("sedge_state")
+                rest = written(self.spark.sql(f"SELECT a.* FROM sedge_now a LEFT ANTI JOIN sedge_state b ON {on(k)}"), "upsert")
+                if u.sets is not None:
+                    both = self._both(s, t)
+                    sets, _ = self._sets(u.sets, t, low, both)
+                    when = S.truth(low.expr(u.when, both)) if u.when is not None else "true"
+                    hit = f"a._ord IS NOT NULL AND coalesce({when}, false)"
+                    cells = [f"CASE WHEN {hit} THEN {sets[c.label]} ELSE b.`{c.label}` END AS `{c.label}`" if c.label in sets else f"b.`{c.label}`" for c in t.columns if c.generated is None]
+                    rid = f"CASE WHEN {hit} THEN {sets[t.rowid_alias]} ELSE b.`{ROWID}` END" if t.rowid_alias in sets else f"b.`{ROWID}`"
+                    updated = self.spark.sql(f"SELECT {', '.join(cells)}, {rid} AS `{ROWID}`, CASE WHEN {hit} THEN a._ord ELSE b._ord END AS _ord, b._was FROM sedge_state b LEFT JOIN sedge_now a ON {on(k)}")
+                    state = written(self._generate(t, updated).select(*names), "upsert")
+                now = rest
+            state = written(state.unionByName(now), "upsert")
+        return state.where("_ord IS NOT NULL")
 
     # --- pragmas ---
 
@@ -864,7 +962,7 @@ class Connection:
                 cols = [TableColumn(c.label, c.ty, declared={"int": "INT", "real": "REAL", "text": "TEXT"}.get(c.ty, "")) for c in self.lowering().view(v.name.lower(), v).columns]
             else:
                 cols = t.columns if t else []
-            rows = [(i, c.label, c.declared, int(bool(c.notnull)), _sql_of(c.default), c.pk, 0 if c.generated is None else 3 if c.stored else 2) for i, c in enumerate(cols)]
+            rows = [(i, c.label, c.declared.upper() if c.declared.upper() in STANDARD_TYPES else c.declared, int(bool(c.notnull)), c.default_text, c.pk, 0 if c.generated is None else 3 if c.stored else 2) for i, c in enumerate(cols)]
             if s.name == "table_info":
                 return make([r[:6] for r in rows if not r[6]], "cid long, name string, type string, notnull long, dflt_value string, pk long")
             return make(rows, "cid long, name string, type string, notnull long, dflt_value string, pk long, hidden long")
@@ -881,7 +979,7 @@ class Connection:
                             coll = e.name if e.kind == "collate" else None
                             e = e.of if e.kind == "collate" else e
                             at = next((j for j, c in enumerate(t.columns) if e.kind == "name" and c.label.lower() == e.name.lower()), -2)
-                            rows.append((i, at, t.columns[at].label if at >= 0 else None, 0, coll or (t.columns[at].coll if at >= 0 else None) or "BINARY", 1))
+                            rows.append((i, at, t.columns[at].label if at >= 0 else None, int(i < len(k.desc) and k.desc[i]), coll or (t.columns[at].coll if at >= 0 else None) or "BINARY", 1))
                         if s.name == "index_info":
                             return make([r[:3] for r in rows], "seqno long, cid long, name string")
                         rows.append((len(rows), -1, None, 0, "BINARY", 0))
@@ -918,10 +1016,10 @@ def _rename(e, kind: str, old: str, new: str) -> None:
                 _rename(v, kind, old, new)
 
 
-def _sql_of(e: Node | None) -> str | None:
-    if e is None:
-        return None
-    if e.kind == "literal":
-        v = e.value
-        return f"'{v}'" if isinstance(v, str) else f"X'{v.hex()}'" if isinstance(v, bytes) else str(v)
-    return "NULL" if e.kind == "null" else e.kind
+def _has_query(e) -> bool:
+    """Whether a subquery stands anywhere in e."""
+    if isinstance(e, (list, tuple)):
+        return any(map(_has_query, e))
+    if not isinstance(e, Node):
+        return False
+    return e.kind in ("subquery", "exists", "in_query", "select") or any(_has_query(v) for v in vars(e).values() if isinstance(v, (Node, list, tuple)))
