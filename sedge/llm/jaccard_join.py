@@ -46,7 +46,7 @@ TARGET_RECALL = 0.9999
 FLOOR = 0.55
 #: Matched classes count for the choice of the level if their signatures agree in so little less than the similarity.
 SLACK = 0.1
-BLOCK = 1024
+BLOCK = 512
 #: Classes of one subtree that a task compares at once.
 GROUP_BLOCK = 65_536
 #: Keys that a large cluster's rows are dealt to where the size of the cluster is looked up.
