@@ -17,71 +17,116 @@ come first; of rows that repeat an identifier each has a stream; other columns a
 from __future__ import annotations
 
 import hashlib
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedge.llm.bpe import PRETOKEN, ChunkTable, cut, default_path
-from sedge.llm.common import arrow_rows, fresh_path, mixed, partitions, written
+from sedge.llm.bpe import byte_letters, cut, default_path
+from sedge.llm.common import arrow_rows, free, fresh_path, mixed, partitions, written
 
 #: Ids in a chunk: at least, on average beyond that, at most.
 LEAST, AVERAGE, MOST = 128, 1024, 8192
-#: Entries of a Python worker's tables of chunks and of the pieces in them.
+_STOPS = frozenset(".,;:!?")
+#: Letters below this (Latin, Greek, Cyrillic) are letters to every version of Unicode in use.
+_SETTLED = "\u0530"
+#: Entries of a Python worker's table of chunks.
 CACHE = 900_000
 
 
-def boundaries(ids: np.ndarray, least: int = LEAST, average: int = AVERAGE, most: int = MOST) -> list[int]:
-    """Ends of the chunks: content alone decides, so equal passages give equal chunks."""
-    n = len(ids)
-    if n <= least:
-        return [n]
-    gear = mixed(ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    rolling = np.zeros(n, np.uint64)
-    for i in range(min(8, n)):
-        rolling[i:] += gear[: n - i] << np.uint64(i * 7)
+#: Ids that the rolling hash spans.
+SPAN = 8
+
+
+def boundaries(docs: list[np.ndarray], least: int = LEAST, average: int = AVERAGE, most: int = MOST) -> list[list[int]]:
+    """Ends of the chunks of each document: content alone decides, so equal passages give equal chunks."""
+    starts = np.cumsum([SPAN] + [len(d) + SPAN for d in docs])[:-1]
+    ends = starts + np.array([len(d) for d in docs], np.int64)
+    gear = np.zeros(int(ends[-1]) + SPAN if len(docs) else SPAN, np.uint64)  # zeros between documents: none reaches into the next
+    hashes = mixed(np.concatenate([d.astype(np.uint64) for d in docs]) + np.uint64(0x9E3779B97F4A7C15)) if docs else gear[:0]
+    at = 0
+    for a, b in zip(starts.tolist(), ends.tolist()):
+        gear[a:b] = hashes[at : at + b - a]
+        at += b - a
+    rolling = gear.copy()
+    for i in range(1, SPAN):
+        rolling[i:] += gear[: len(gear) - i] << np.uint64(i * 7)
     marks = np.flatnonzero(mixed(rolling) % np.uint64(average) == 0) + 1
-    out, start, i = [], 0, 0
-    while n - start > least:
-        i = int(np.searchsorted(marks, start + least, "left"))
-        end = int(marks[i]) if i < len(marks) else n
-        end = min(end, start + most, n)
-        out.append(end)
-        start = end
-    if start < n:
-        out.append(n)
+    out = []
+    for first, end in zip(starts.tolist(), ends.tolist()):
+        cuts, start = [], first
+        if end - start > least:
+            own = marks[np.searchsorted(marks, first + 1) : np.searchsorted(marks, end, "right")].tolist()
+            k = 0
+            while end - start > least:
+                while k < len(own) and own[k] < start + least:
+                    k += 1
+                start = min(own[k] if k < len(own) else end, start + most, end)
+                cuts.append(start - first)
+        if start < end or not cuts:
+            cuts.append(end - first)
+        out.append(cuts)
     return out
 
 
-def merkle(leaves: list[bytes]) -> bytes:
-    """Root over the leaves' hashes, pairs hashed with a leading 1, a lone one passed up; no leaves give the hash of nothing."""
-    level = list(leaves)
-    if not level:
-        return hashlib.sha256(b"").digest()
-    while len(level) > 1:
-        level = [hashlib.sha256(b"\1" + level[i] + level[i + 1]).digest() if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-    return level[0]
+class Merkle:
+    """The root over leaves that come one by one: pairs hashed with a leading 1, a lone one passed up; one hash of each level is kept."""
+
+    def __init__(self):
+        self.peaks: list[tuple[int, bytes]] = []
 
+    def add(self, leaf: bytes) -> None:
+        level = 0
+        while self.peaks and self.peaks[-1][0] == level:
+            leaf = hashlib.sha256(b"\1" + self.peaks.pop()[1] + leaf).digest()
+            level += 1
+        self.peaks.append((level, leaf))
 
-class LibraryEncoder:
-    """The tokenizers library, asked once for each chunk between blanks where the vocabulary's own rules allow it."""
+    def root(self) -> bytes:
+        if not self.peaks:
+            return hashlib.sha256(b"").digest()
+        out = self.peaks[-1][1]
+        for _, left in reversed(self.peaks[:-1]):
+            out = hashlib.sha256(b"\1" + left + out).digest()
+        return out
 
-    def __init__(self, path: str):
+
+def merkle(leaves: list[bytes]) -> bytes:
+    """Root over the leaves' hashes; no leaves give the hash of nothing."""
+    if len(leaves) == 1:
+        return leaves[0]
+    tree = Merkle()
+    for leaf in leaves:
+        tree.add(leaf)
+    return tree.root()
+
+
+class LibraryEncoder(dict):
+    """The tokenizers library, asked once for each chunk between blanks where the vocabulary's own rules allow it: a table of
+    chunks and their little-endian ids. Chunks of words, stops and line ends are put together from those, which are pre-tokens
+    each, and so go to the library's model alone; whatever else a chunk holds goes to the library whole."""
+
+    def __init__(self, path: str, bound: int = CACHE):
+        super().__init__()
         import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.bound = bound
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.model = self.library.model.tokenize
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         pre = file.get("pre_tokenizer") or {}
@@ -89,55 +134,52 @@ class LibraryEncoder:
         self.by_chunk = file.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre["add_prefix_space"] and plain
         self.width = 2 if self.library.get_vocab_size(with_added_tokens=True) <= 65536 else 4
         self.dtype = np.dtype("<u2" if self.width == 2 else "<u4")
-        self.chunks, self.pieces = ChunkTable(CACHE), ChunkTable(CACHE)
-        self.special = {t["content"] for t in file["added_tokens"]}
-        line = self._ids(["\n"])[0]
-        self.line_id = line[0] if len(line) == 1 else None
-        self.pretoken = regex.compile(PRETOKEN).findall
-
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _of_pieces(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Pieces and their ids. Those without white space but for a leading blank go to the library as lines of a text:
-        a line end next to them is a piece, and so an id, of its own."""
-        lines = [p for p in pieces if (p[1:] if p[0] == " " else p).split() == [p.lstrip(" ")] and not any(s in p for s in self.special)] if self.line_id is not None else []
-        others = list(set(pieces).difference(lines)) if len(lines) < len(pieces) else []
-        for start in range(0, len(lines), 1000):
-            some = lines[start : start + 1000]
-            ids = np.array(self._ids(["\n".join(some) + "\n"])[0], self.dtype)
-            ends = np.flatnonzero(ids == self.line_id).tolist()
-            if len(ends) != len(some):
-                others += some
-                continue
-            for piece, a, b in zip(some, [-1, *ends], ends):
-                yield piece, ids[a + 1 : b].tobytes()
-        for start in range(0, len(others), 20_000):
-            some = others[start : start + 20_000]
-            for piece, ids in zip(some, self._ids(some)):
-                yield piece, np.array(ids, self.dtype).tobytes()
-
-    def _pieces(self, chunk: str) -> list[str]:
-        """A chunk's pre-tokens; one that may hold a special token is left to the library whole."""
-        if chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()) or any(s in chunk for s in self.special):
-            return [chunk]
-        return self.pretoken(chunk)
+        self.special = [t["content"] for t in file["added_tokens"]]
+        self.letters = {b: c for c, b in byte_letters().items()}
+        self.blank, self.code = self.letters[32], "H" if self.width == 2 else "I"
+        self.wide = str.maketrans({chr(b): c for b, c in self.letters.items()})
+        self[""] = b""  # stands before a leading blank
+        self["\n"] = self._whole("\n")
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def __missing__(self, chunk: str) -> bytes:
+        core = chunk[1:] if chunk[0] == " " else chunk
+        if core.isalpha() and (core.isascii() or max(core) < _SETTLED):
+            raw = chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(self.wide)
+            raw = self.blank + raw[1:] if raw[0] == " " else raw
+            found = array(self.code, [t.id for t in self.model(raw)])
+            ids = found.tobytes() if sys.byteorder == "little" else np.array(found, self.dtype).tobytes()
+        elif core in _STOPS and core == chunk:
+            ids = self._whole(chunk)
+        else:
+            pieces = self._pieces(chunk)
+            ids = b"".join([self[p] for p in pieces]) if pieces else self._whole(chunk)
+        if len(self) < self.bound and len(chunk) <= 64:
+            self[chunk] = ids
+        return ids
+
+    def _pieces(self, chunk: str) -> list[str] | None:
+        """A chunk of words, each with a stop or not, on lines of their own, as words, stops and line ends."""
+        if chunk[-1] not in _STOPS and "\n" not in chunk:
+            return None
+        out: list[str] = []
+        for line in chunk.split("\n"):
+            if out:
+                out.append("\n")
+            core = line[:-1] if line[-1:] in _STOPS else line
+            if not (core.isalpha() or not out and core[:1] == " " and core[1:].isalpha()) or not core.isascii() and max(core) >= _SETTLED:
+                return None
+            out.append(core)
+            if core is not line:
+                out.append(line[-1])
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian ids of each text."""
-        if not self.by_chunk:
-            return [np.array(i, self.dtype).tobytes() for i in self._ids(texts)]
-        cuts = [cut(t) if t else [] for t in texts]
-        missing = self.chunks.missing(cuts)
-        parts = [self._pieces(c) if c else [] for c in missing]
-        new = self.pieces.missing(parts)
-        for piece, ids in self._of_pieces(new):
-            self.pieces.put(piece, ids)
-        piece = self.pieces.table.__getitem__
-        for chunk, part in zip(missing, parts):
-            self.chunks.put(chunk, b"".join(map(piece, part)))
-        known = self.chunks.table.__getitem__
-        return [b"".join(map(known, c)) for c in cuts]  # a chunk is "" only before a leading blank
+        """Little-endian ids of each text; one that may hold a special token is left to the library whole."""
+        known = self.__getitem__
+        return [self._whole(t) if not self.by_chunk or any(s in t for s in self.special) else b"".join(map(known, cut(t))) if t else b"" for t in texts]
 
 
 @lru_cache(2)
@@ -145,51 +187,74 @@ def encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
-REF = pa.struct([("sha", pa.binary()), ("n", pa.int32())])
-STAGED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary()), ("refs", pa.list_(REF)), ("fresh", pa.list_(pa.struct([("sha", pa.binary()), ("ids", pa.binary())])))])
 _STAGED = "doc_id long, n_tokens long, root binary, refs array<struct<sha: binary, n: int>>, fresh array<struct<sha: binary, ids: binary>>"
+#: Documents that are encoded together.
+TOGETHER = 256
+
+
+def _lists(counts: list[int], **columns: pa.Array) -> pa.Array:
+    """Lists of structs from flat columns."""
+    offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(list(columns.values()), names=list(columns)))
 
 
 def _stage(path: str, end_id: int, sizes: tuple[int, int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
-        end = np.array([end_id], coder.dtype).tobytes()
-        add, take = arrow_rows(STAGED, 256)
+        width, end = coder.width, np.array([end_id], coder.dtype).tobytes()
         sent: set[bytes] = set()  # addresses that this task has sent; forgotten when many
+        sha256 = hashlib.sha256
         for whole in batches:
-            for start in range(0, whole.num_rows, 128):
-                batch = whole.slice(start, 128)
-                for doc, raw in zip(batch.column(0).to_pylist(), coder.encode([t or "" for t in batch.column(1).to_pylist()])):
-                    raw += end
-                    ids = np.frombuffer(raw, coder.dtype)
-                    refs, fresh, a = [], [], 0
-                    for b in boundaries(ids, *sizes):
-                        part = raw[a * coder.width : b * coder.width]
-                        sha = hashlib.sha256(part).digest()
-                        refs.append({"sha": sha, "n": b - a})
+            for start in range(0, whole.num_rows, TOGETHER):
+                batch = whole.slice(start, TOGETHER)
+                streams = [raw + end for raw in coder.encode([t or "" for t in batch.column(1).to_pylist()])]
+                ids = [np.frombuffer(raw, coder.dtype) for raw in streams]
+                roots, of_doc, lengths, new_of_doc = [], [], [], []
+                shas, new_shas, new_ids = [], [], []
+                for raw, ends in zip(streams, boundaries(ids, *sizes)):
+                    a, had, before = 0, len(shas), len(new_shas)
+                    for b in ends:
+                        part = raw[a * width : b * width]
+                        sha = sha256(part).digest()
+                        shas.append(sha)
+                        lengths.append(b - a)
                         if sha not in sent:
                             if len(sent) > 500_000:
                                 sent.clear()
                             sent.add(sha)
-                            fresh.append({"sha": sha, "ids": part})
+                            new_shas.append(sha)
+                            new_ids.append(part)
                         a = b
-                    add(doc, len(ids), merkle([r["sha"] for r in refs]), refs, fresh)
-                yield from take()
-        yield from take(True)
+                    roots.append(merkle(shas[had:]))
+                    of_doc.append(len(shas) - had)
+                    new_of_doc.append(len(new_shas) - before)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).cast(pa.int64()),
+                        pa.array([len(i) for i in ids], pa.int64()),
+                        pa.array(roots, pa.binary()),
+                        _lists(of_doc, sha=pa.array(shas, pa.binary()), n=pa.array(lengths, pa.int32())),
+                        _lists(new_of_doc, sha=pa.array(new_shas, pa.binary()), ids=pa.array(new_ids, pa.binary())),
+                    ],
+                    names=["doc_id", "n_tokens", "root", "refs", "fresh"],
+                )
+        pa.default_memory_pool().release_unused()
 
     return run
 
 
 def _unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[bytes] = set()
+    """Of rows sorted by address the first of each."""
+    last = None
     for batch in batches:
-        keep = []
-        for i, sha in enumerate(batch.column(0).to_pylist()):
-            if sha not in seen:
-                seen.add(sha)
-                keep.append(i)
-        if keep:
-            yield batch.take(pa.array(keep))
+        if not batch.num_rows:
+            continue
+        sha = batch.column(0)
+        new = np.ones(len(sha), bool)
+        new[1:] = pc.not_equal(sha.slice(1), sha.slice(0, len(sha) - 1)).to_numpy(zero_copy_only=False)
+        new[0] = sha[0].as_py() != last
+        last = sha[-1].as_py()
+        yield batch.filter(pa.array(new))
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,30 +270,19 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, within = at + len(n), within + int(n.sum())
 
 
-def _part_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    roots: list[bytes] = []
-    tokens, part = 0, None
-    for batch in batches:
-        if batch.num_rows:
-            part = batch.column(2)[0].as_py()
-            roots += batch.column(0).to_pylist()
-            tokens += int(batch.column(1).to_numpy().sum())
-    if roots:
-        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n_docs": [len(roots)], "n_tokens": [tokens], "root": pa.array([merkle(roots)], pa.binary())})
-
-
 def write_store(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", sizes: tuple[int, int, int] = (LEAST, AVERAGE, MOST)) -> None:
     spark = docs.sparkSession
     path = path or default_path()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     staged = written(rows.mapInArrow(_stage(path, end_id, sizes), _STAGED), "store-staged")
     fresh = staged.select(F.explode("fresh").alias("c")).select("c.sha", "c.ids")
-    fresh.repartition(partitions(spark), "sha").mapInArrow(_unique, "sha binary, ids binary").write.option("compression", "zstd").parquet(f"{folder}/chunks")
-    recipes = staged.select("doc_id", "n_tokens", "root", "refs").repartitionByRange(partitions(spark), "doc_id", "root").sortWithinPartitions("doc_id", "root")
+    fresh.repartition(partitions(spark, staged), "sha").sortWithinPartitions("sha").mapInArrow(_unique, "sha binary, ids binary").write.option("compression", "zstd").parquet(f"{folder}/chunks")
+    recipes = staged.select("doc_id", "n_tokens", "root", "refs").repartitionByRange(partitions(spark, staged), "doc_id", "root").sortWithinPartitions("doc_id", "root")
     recipes.mapInArrow(_numbered, "doc_id long, n_tokens long, root binary, refs array<struct<sha: binary, n: int>>, part int, at long, within long").write.parquet(f"{folder}/recipes")
+    free(staged)
     # A part is one file, written and read in its order.
     parts = spark.read.parquet(f"{folder}/recipes").select("root", "n_tokens", "part", "at").repartition(partitions(spark), "part").sortWithinPartitions("part", "at")
-    manifest = parts.mapInArrow(_by_part, "part int, n_docs long, n_tokens long, root binary").collect()  # a row for each part
+    manifest = parts.mapInArrow(_by_part, "part int, n_docs long, n_tokens long, root binary").collect()  # a row for each part: MOST_PARTITIONS at most
     first, out = 0, []
     for r in sorted(manifest, key=lambda r: r["part"]):
         out.append((r["part"], r["n_docs"], r["n_tokens"], first, bytes(r["root"]), encoder(path).width))
@@ -237,10 +291,24 @@ def write_store(docs: DataFrame, folder: str, path: str | None = None, end_id: i
 
 
 def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from sedge.llm.common import grouped
+    """The root, documents and ids of each part, from its documents' roots in their order."""
+    now: list = []
+
+    def told():
+        part, docs, tokens, tree = now
+        return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n_docs": [docs], "n_tokens": [tokens], "root": pa.array([tree.root()], pa.binary())})
 
-    for group in grouped(batches, ["part"]):
-        yield from _part_roots(iter(group.combine_chunks().to_batches()))
+    for batch in batches:
+        for root, n, part in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2))):
+            if not now or now[0] != part:
+                if now:
+                    yield told()
+                now = [part, 0, 0, Merkle()]
+            now[1] += 1
+            now[2] += n
+            now[3].add(root)
+    if now:
+        yield told()
 
 
 def _chunk_digests(width: int):
@@ -248,12 +316,13 @@ def _chunk_digests(width: int):
     dtype = np.dtype("<u2" if width == 2 else "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        add, take = arrow_rows(schema)
         for batch in batches:
+            good, lengths, crcs = [], [], []
             for sha, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                add(sha, hashlib.sha256(raw).digest() == sha, len(raw) // width, zlib.crc32(np.frombuffer(raw, dtype).astype("<u4").tobytes()))
-            yield from take()
-        yield from take(True)
+                good.append(hashlib.sha256(raw).digest() == sha)
+                lengths.append(len(raw) // width)
+                crcs.append(zlib.crc32(np.frombuffer(raw, dtype).astype("<u4")))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(good, pa.bool_()), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64())], schema=schema)
 
     return run
 
@@ -297,8 +366,9 @@ def read_digests(spark: SparkSession, folder: str) -> DataFrame:
     digests = spark.read.parquet(f"{folder}/chunks").mapInArrow(_chunk_digests(width), "sha binary, good boolean, length long, crc long")
     recipes = spark.read.parquet(f"{folder}/recipes")
     refs = recipes.select("part", "at", F.posexplode("refs").alias("pos", "ref")).select("part", "at", "pos", "ref.sha", "ref.n")
-    of_doc = refs.join(digests, "sha", "left").groupBy("part", "at").agg(F.collect_list(F.struct("pos", "sha", "n", "good", "length", "crc")).alias("parts"))
-    whole = recipes.select("doc_id", "part", "at", "within", "n_tokens", "root").join(of_doc, ["part", "at"]).join(F.broadcast(manifest.select("part", "first")), "part")  # a row for each file of recipes
+    of_doc = refs.join(digests.hint("merge"), "sha", "left").groupBy("part", "at").agg(F.collect_list(F.struct("pos", "sha", "n", "good", "length", "crc")).alias("parts"))
+    whole = recipes.select("doc_id", "part", "at", "within", "n_tokens", "root").join(of_doc.hint("merge"), ["part", "at"])
+    whole = whole.join(F.broadcast(manifest.select("part", "first")), "part")  # a row for each file of recipes: MOST_PARTITIONS at most
     return whole.select("doc_id", (F.col("first") + F.col("within")).alias("start"), "n_tokens", "root", "parts").mapInArrow(
         _documents, "doc_id long, start long, n_tokens long, ids_crc32 long, verified boolean"
     )
@@ -310,7 +380,7 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
     dtype = np.dtype("<u2" if width == 2 else "<u4")
     recipes, chunks = spark.read.parquet(f"{folder}/recipes"), spark.read.parquet(f"{folder}/chunks")
     refs = recipes.select("part", "at", "doc_id", F.posexplode("refs").alias("pos", "ref")).select("part", "at", "doc_id", "pos", "ref.sha")
-    parts = refs.join(chunks, "sha").groupBy("part", "at", "doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
+    parts = refs.join(chunks.hint("merge"), "sha").groupBy("part", "at", "doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int64()))])

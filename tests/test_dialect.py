@@ -181,3 +181,70 @@ def test_exclude_against_the_embedded_database(con, spark):
             part = [f"{c} {over}" for c in calls]
             sql = f"WITH t(k, p, o, v, w) AS (VALUES {values}) SELECT k, {', '.join(part)} FROM t ORDER BY k"
             assert [tuple(r) for r in rows(con, sql)] == lite.execute(sql).fetchall(), over
+
+
+def test_columns_of_mixed_classes(con):
+    con.execute_batch("CREATE TABLE u(a); INSERT INTO u VALUES (1), ('x'); INSERT INTO u VALUES (2.5), (NULL), (x'41'), (1.0), ('1')")
+    assert rows(con, "SELECT a, typeof(a) FROM u ORDER BY rowid") == [(1, "integer"), ("x", "text"), (2.5, "real"), (None, "null"), (bytearray(b"A"), "blob"), (1.0, "real"), ("1", "text")]
+    assert rows(con, "SELECT typeof(a), quote(a) FROM u ORDER BY a, rowid") == [("null", "NULL"), ("integer", "1"), ("real", "1.0"), ("real", "2.5"), ("text", "'1'"), ("text", "'x'"), ("blob", "X'41'")]
+    assert rows(con, "SELECT count(*) FROM u WHERE a = 1") == [(2,)] and rows(con, "SELECT count(*) FROM u WHERE a > 2") == [(4,)] and rows(con, "SELECT count(*) FROM u WHERE a = '1'") == [(1,)]
+    assert sorted(rows(con, "SELECT count(*) FROM u GROUP BY a")) == [(1,), (1,), (1,), (1,), (1,), (2,)]
+    assert rows(con, "SELECT max(a), typeof(min(a)), sum(a), a || '!' FROM u WHERE typeof(a) <> 'blob' AND a < 2") == [(1, "integer", 2.0, "1!")]
+    assert rows(con, "SELECT typeof(column1), length(column1) FROM (VALUES (1), ('xyz'), (2.5))") == [("integer", 1), ("text", 3), ("real", 3)]
+    con.execute("UPDATE u SET a = 'new' WHERE typeof(a) = 'null'")
+    assert rows(con, "SELECT count(*) FROM u WHERE a = 'new'") == [(1,)]
+
+
+def test_strict_any_keeps_what_comes(con):
+    con.execute("CREATE TABLE k(i INT, a ANY) STRICT")
+    for v in (None, 12, 12.0, "0012", b"\x00\xff"):
+        con.execute("INSERT INTO k VALUES (1, ?)", (v,))
+    assert rows(con, "SELECT typeof(a), quote(a) FROM k ORDER BY rowid") == [("null", "NULL"), ("integer", "12"), ("real", "12.0"), ("text", "'0012'"), ("blob", "X'00FF'")]
+    for bad in ((1.5, 1), ("abc", 1), (b"1", 1)):
+        with pytest.raises(Exception):
+            con.execute("INSERT INTO k VALUES (?, ?)", bad)
+    assert rows(con, "SELECT count(*) FROM k") == [(5,)]
+
+
+def test_upserts_against_the_embedded_database(con):
+    import sqlite3
+
+    m = sqlite3.connect(":memory:", isolation_level=None)
+    script = [
+        "CREATE TABLE t(id INTEGER PRIMARY KEY, a TEXT UNIQUE, n INT, b TEXT)", "INSERT INTO t VALUES (1,'x',1,'p'),(2,'y',2,'q'),(3,'z',3,'r')",
+        "INSERT INTO t VALUES (9,'x',5,'s') ON CONFLICT(id) DO UPDATE SET n=100 ON CONFLICT(a) DO UPDATE SET n=200",
+        "INSERT INTO t VALUES (2,'new',7,'u'),(4,'z',8,'v'),(5,'w',9,'w'),(5,'k',10,'m') ON CONFLICT(a) DO NOTHING ON CONFLICT(id) DO UPDATE SET b=b||excluded.b",
+        "INSERT INTO t VALUES (2,'n2',7,'u'),(7,'z',8,'v') ON CONFLICT(a) DO UPDATE SET n=n+1000 ON CONFLICT DO NOTHING",
+        "INSERT INTO t VALUES (1,'m',1,'a'),(1,'o',1,'b'),(8,'e',1,'c'),(8,'f',5,'d') ON CONFLICT(id) DO UPDATE SET n=n+excluded.n, b=b||excluded.b WHERE excluded.n < 5",
+        "INSERT INTO t(a,n) VALUES ('e',1),('nn',5),('nn',6) ON CONFLICT(a) DO UPDATE SET n=excluded.n*10",
+    ]
+    for s in script:
+        m.execute(s)
+        con.execute(s)
+        if not s.startswith("CREATE"):
+            assert rows(con, "SELECT * FROM t ORDER BY id") == m.execute("SELECT * FROM t ORDER BY id").fetchall(), s
+
+
+def test_numbers_beyond_64_bits(con):
+    v = "(VALUES (9223372036854775807), (-9223372036854775808), (5), (NULL))"
+    assert rows(con, f"SELECT typeof(column1 + 1), column1 + 1 > column1, CAST(-column1 AS REAL) FROM {v}") == [("real", 1, -9.223372036854775807e18), ("integer", 1, 9.223372036854775808e18), ("integer", 1, -5.0), ("null", None, None)]
+    assert one(con, "SELECT 9223372036854775807 + 1, -9223372036854775808 / -1, - (-9223372036854775808)") == (9.223372036854775808e18,) * 3
+    assert rows(con, f"SELECT count(*) FROM {v} a JOIN {v} b ON a.column1 + 1 = b.column1") == [(0,)]
+    with pytest.raises(Exception):
+        rows(con, f"SELECT column1 + 1 FROM {v}")
+
+
+def test_far_limits_and_patterns(con):
+    assert rows(con, "SELECT column1 FROM (VALUES (3), (1), (2)) ORDER BY 1 LIMIT 9223372036854775807 OFFSET 1") == [(2,), (3,)]
+    assert rows(con, "SELECT column1 FROM (VALUES (3), (1), (2)) ORDER BY 1 LIMIT 2 OFFSET 3000000000") == []
+    cases = [("z", "[z-a]", 1), ("b", "[z-a]", 0), ("a", "[a", 0), ("]", "[]]", 1), ("x", "[^]]", 1), (".", "[*]", 0), ("*", "[*]", 1), ("a-c", "a[-]c", 1), ("[", "[", 0), ("B1", "B*[]1", 0)]
+    for x, p, want in cases:
+        assert one(con, f"SELECT '{x}' GLOB '{p}'") == (want,), p
+    assert rows(con, "SELECT column1 GLOB column2 FROM (VALUES " + ", ".join(f"('{x}', '{p}')" for x, p, _ in cases) + ")") == [(w,) for _, _, w in cases]
+
+
+def test_errors_of_the_engine_are_errors_of_the_dialect(con):
+    con.execute("CREATE TABLE t(a INT)")
+    for bad in ("INSERT INTO t SELECT CAST('9223372036854775807' AS INT) + 1 FROM (VALUES (1)) v, (VALUES (2)) w", "INSERT INTO t VALUES (nothing)"):
+        with pytest.raises(SqlError):
+            con.execute(bad)

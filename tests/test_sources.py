@@ -108,3 +108,76 @@ def test_command_line(sf):
 
     out = subprocess.run([sys.executable, "-m", "sedge", "--tables", sf], input="SELECT count(*) AS n FROM nation; VALUES (x'0a', NULL, 1.5)", capture_output=True, text=True, cwd=__file__.rsplit("/", 2)[0], timeout=200)
     assert out.stdout.splitlines()[-2:] == ['{"columns": ["n"], "rows": [[{"integer": 25}]], "changes": 0}', '{"columns": ["column1", "column2", "column3"], "rows": [[{"blob": "0a"}, {"null": null}, {"real": 1.5}]], "changes": 0}']
+
+
+def filled(spark):
+    con = Connection(spark)
+    con.execute_batch(
+        "CREATE TABLE t(id INTEGER PRIMARY KEY AUTOINCREMENT, a TEXT COLLATE NOCASE UNIQUE, n INT DEFAULT (1 + 2) CHECK (n > 0), r REAL, b BLOB, g INT AS (n * 2) STORED);"
+        "CREATE TABLE w(k TEXT, v INT, j INT, PRIMARY KEY (j DESC, k)) WITHOUT ROWID; CREATE TABLE u(x);"
+        "CREATE INDEX ix ON t(n DESC, lower(a)) WHERE n > 5; CREATE UNIQUE INDEX iw ON w(v); CREATE VIEW big AS SELECT a, n FROM t WHERE n > 50; PRAGMA user_version = 42"
+    )
+    rows = ", ".join(f"('Name{i}', {i % 60 + 1}, {i}.0, x'{'ab' * (i % 7)}')" for i in range(400))
+    con.execute(f"INSERT INTO t(a, n, r, b) VALUES {rows}")
+    con.execute("INSERT INTO t(a, n) VALUES ('" + "long " * 2000 + "', 9)")
+    con.execute("INSERT INTO w SELECT 'k' || id, id, id % 5 FROM t")
+    con.execute_batch("INSERT INTO u VALUES (1), ('x'); INSERT INTO u VALUES (2.5), (NULL), (x'00ff')")
+    return con
+
+
+@pytest.mark.parametrize("page", [512, 4096])
+def test_images_written_are_read_by_the_embedded_database(spark, tmp_path, page):
+    from sedge.sources.image_writer import export
+
+    con, path = filled(spark), str(tmp_path / "out.db")
+    export(con, f"file://{path}", page)
+    m = sqlite3.connect(path)
+    assert m.execute("PRAGMA integrity_check").fetchall() == [("ok",)]
+    assert m.execute("PRAGMA user_version").fetchall() == [(42,)]
+    for q in ("SELECT id, a, n, r, g FROM t ORDER BY id", "SELECT k, v, j FROM w ORDER BY v", "SELECT count(*), sum(n) FROM big", "SELECT hex(b) FROM t ORDER BY id"):
+        assert m.execute(q).fetchall() == con.execute(q).rows(), q
+    assert m.execute("SELECT typeof(x), quote(x) FROM u").fetchall() == [("integer", "1"), ("text", "'x'"), ("real", "2.5"), ("null", "NULL"), ("blob", "X'00FF'")]
+    assert m.execute("SELECT seq FROM sqlite_sequence").fetchall() == [(401,)]
+    with pytest.raises(sqlite3.IntegrityError):
+        m.execute("INSERT INTO t(a) VALUES ('name7')")
+    m.execute("INSERT INTO t(a) VALUES ('fresh')")
+    assert m.execute("SELECT id, n FROM t WHERE a = 'fresh'").fetchall() == [(402, 3)]
+    m.close()
+    again = Connection(spark)
+    attach(again, f"file://{path}")
+    assert again.execute("SELECT count(*), sum(g) FROM t").rows() == con.execute("SELECT count(*), sum(g) FROM t").rows()
+    with pytest.raises(Exception):
+        export(con, f"file://{path}", page)
+
+
+def test_logs_are_laid_over_their_image(tmp_path):
+    import shutil
+
+    from sedge.inspect import lines, opened
+    from sedge.sources.image import recovered
+
+    path = str(tmp_path / "live.db")
+    m = sqlite3.connect(path, isolation_level=None)
+    m.execute("PRAGMA journal_mode=WAL")
+    m.execute("PRAGMA wal_autocheckpoint=0")
+    m.execute("CREATE TABLE t(a, b)")
+    m.executemany("INSERT INTO t VALUES (?, ?)", [(i, "x" * i) for i in range(300)])
+    copy, log = str(tmp_path / "copy.db"), str(tmp_path / "copy.log")
+    shutil.copy(path, copy)
+    shutil.copy(path + "-wal", log)
+    data, frames = open(copy, "rb").read(), open(log, "rb").read()
+    whole = Image(recovered(data, frames))
+    root = next(r for k, n, _, r, _ in whole.schema() if n == "t")
+    assert [v[0] for _, v in whole.rows(root)] == list(range(300))
+    cut = Image(recovered(data, frames[:-40]))  # the last commit is torn
+    assert [v[0] for _, v in cut.rows(root)] == list(range(299))
+    bad = bytearray(frames)
+    bad[24] ^= 1
+    with pytest.raises(ImageError):
+        recovered(data, bytes(bad))
+    with pytest.raises(ImageError):
+        opened(path)
+    got = list(lines([copy, "rows", str(root), "--wal", log]))
+    assert len(got) == 300 and got[2] == {"rowid": 3, "values": [{"integer": 2}, {"text": "xx"}]}
+    assert list(lines([copy, "info", "--wal", log]))[0]["encoding"] == "utf-8" and [x["name"] for x in lines([copy, "schema", "--wal", log])] == ["t"]
+    m.close()
