@@ -5,7 +5,7 @@ names, one-versus-one linear support vector machines vote for a language. Featur
 are hashed counts of one to four letters, taken from the whole text.
 
 Defined results: only rows with a non-null text and language teach, at most `per_language` of
-a language, chosen by a hash of their identifier; a text that is null or has no letter is `und`
+a language and `MOST_ROWS` in all, chosen by a hash of their identifier; a text that is null or has no letter is `und`
 with score 0, and so is every text where no row can teach; other columns are not read.
 """
 
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from sedge.llm.common import arrow_rows
 
-#: Bound on the labelled rows of a language that a model is fitted on.
-PER_LANGUAGE = 600
+#: Bounds on the labelled rows that a model is fitted on: of a language, and of all together.
+PER_LANGUAGE, MOST_ROWS = 600, 12_000
 DIMENSIONS = 4096
 UNDETERMINED = "und"
 
@@ -131,28 +131,32 @@ class HierarchicalModel:
 
 
 def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE, dimensions: int = DIMENSIONS) -> HierarchicalModel | None:
-    """A model from at most about per_language rows of each language; their features, not their texts, come to the driver."""
+    """A model from at most per_language rows of each language, fewer where there are many languages; what of their features
+    is not zero, and none of their texts, comes to the driver."""
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
         F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")
     )
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return None
+    per_language = max(1, min(per_language, MOST_ROWS // len(counts)))
     # The hash is uniform, so a language's share under its mark is bound to its count; the cut below makes the bound strict.
     mark = F.element_at(F.create_map(*[F.lit(v) for a, n in counts.items() for v in (a, min(1.0, 1.3 * per_language / n))]), F.col("lang"))
     draw = F.pmod(F.xxhash64(F.coalesce("id", F.lit("")), F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("lang", pa.string()), ("id", pa.string()), ("x", pa.binary())])
+        schema = pa.schema([("lang", pa.string()), ("id", pa.string()), ("at", pa.binary()), ("x", pa.binary())])
         add, take = arrow_rows(schema, 200)
         for batch in batches:
             for row_id, text, lang in zip(*(c.to_pylist() for c in batch.columns)):
                 if has_letter(text):
-                    add(lang, row_id, features(text, dimensions).astype(np.float32).tobytes())
+                    x = features(text, dimensions)
+                    at = np.flatnonzero(x)
+                    add(lang, row_id, at.astype(np.int32).tobytes(), x[at].astype(np.float32).tobytes())
                 yield from take()
         yield from take(True)
 
-    found = rows.where(draw < mark).mapInArrow(run, "lang string, id string, x binary").toArrow()  # at most 1.3 * per_language rows of a language
+    found = rows.where(draw < mark).mapInArrow(run, "lang string, id string, at binary, x binary").toArrow()  # at most 1.3 * per_language rows of a language
     langs, ids = found.column(0).to_pylist(), found.column(1).to_pylist()
     kept: dict[str, int] = {}
     chosen = []
@@ -162,9 +166,9 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang
             chosen.append(i)
     if not chosen:
         return None
-    x = np.empty((len(chosen), dimensions), np.float32)
+    x = np.zeros((len(chosen), dimensions), np.float32)
     for k, i in enumerate(chosen):
-        x[k] = np.frombuffer(found.column(2)[i].as_buffer(), np.float32)
+        x[k, np.frombuffer(found.column(2)[i].as_buffer(), np.int32)] = np.frombuffer(found.column(3)[i].as_buffer(), np.float32)
     del found
     return HierarchicalModel(x, [langs[i] for i in chosen])
 
