@@ -62,6 +62,43 @@ def boolean(sql: str, **more) -> E:
     return E(sql, "bool", **more)
 
 
+# --- cells: values of any class in one column ---
+
+#: A cell: class for the order (1 numbers, 2 text, 3 blobs), the number as a real and as an integer, text, bytes, name of the class.
+#: Structs compare field by field, so that cells without their names compare as the dialect's values do, integers exactly.
+CELL = "struct<k:int,d:double,i:bigint,s:string,b:binary,t:string>"
+
+
+def _cell(k: int, t: str, d: str = "NULL", i: str = "NULL", s: str = "NULL", b: str = "NULL") -> str:
+    return f"named_struct('k', {k}, 'd', CAST({d} AS DOUBLE), 'i', CAST({i} AS BIGINT), 's', CAST({s} AS STRING), 'b', CAST({b} AS BINARY), 't', '{t}')"
+
+
+def cell(e: E) -> str:
+    """A value of a known class as a cell; NULL stays NULL."""
+    if e.ty == "cell":
+        return e.sql
+    if e.ty == "null":
+        return f"CAST(NULL AS {CELL})"
+    if e.wide:
+        return f"CASE WHEN {e.soft} IS NOT NULL THEN {_cell(1, 'integer', e.soft, e.soft)} WHEN {e.wide} IS NOT NULL THEN {cell(E(e.wide, 'real'))} END"
+    made = {
+        "int": lambda: _cell(1, "integer", out(e), out(e)), "bool": lambda: _cell(1, "integer", out(e), out(e)), "real": lambda: _cell(1, "real", e.sql, integer(e)),
+        "blob": lambda: _cell(3, "blob", b=e.sql),
+    }.get(e.ty, lambda: _cell(2, "text", s=text(e)))()
+    return f"CASE WHEN {e.sql} IS NOT NULL THEN {made} END"
+
+
+def cell_key(e: E, coll: str | None = None) -> str:
+    """What of a cell is compared: all but the name of its class, text under its collation."""
+    c = cell(e)
+    return f"CASE WHEN {c} IS NOT NULL THEN named_struct('k', ({c}).k, 'd', ({c}).d, 'i', ({c}).i, 's', {collated(f'({c}).s', coll or e.coll)}, 'b', ({c}).b) END"
+
+
+def shown(sql: str) -> str:
+    """A cell at the end of a query: a variant of its own class."""
+    return f"CASE {sql}.t WHEN 'integer' THEN CAST({sql}.i AS VARIANT) WHEN 'real' THEN CAST({sql}.d AS VARIANT) WHEN 'text' THEN CAST({sql}.s AS VARIANT) WHEN 'blob' THEN CAST({sql}.b AS VARIANT) END"
+
+
 # --- conversions ---
 
 
@@ -104,6 +141,8 @@ def text(e: E) -> str:
         return real_text(e.sql)
     if e.ty == "blob":
         return f"decode({e.sql}, 'UTF-8')"
+    if e.ty == "cell":
+        return f"CASE {e.sql}.t WHEN 'integer' THEN CAST({e.sql}.i AS STRING) WHEN 'real' THEN {real_text(f'{e.sql}.d')} WHEN 'text' THEN {e.sql}.s ELSE decode({e.sql}.b, 'UTF-8') END"
     if e.ty == "ts":
         return f"date_format({e.sql}, 'yyyy-MM-dd HH:mm:ss')"
     if e.wide:
@@ -119,6 +158,8 @@ def real(e: E) -> str:
         return "CAST(NULL AS DOUBLE)"
     if e.wide:
         return f"coalesce(CAST({e.soft} AS DOUBLE), {e.wide})"
+    if e.ty == "cell":
+        return f"CASE WHEN {e.sql}.k = 1 THEN {e.sql}.d ELSE {real(E(f'CASE WHEN {e.sql}.k = 2 THEN {e.sql}.s ELSE decode({e.sql}.b, {lit_text('UTF-8')}) END', 'text'))} END"
     if e.ty in ("int", "bool"):
         return f"CAST({out(e)} AS DOUBLE)"
     t = text(e)
@@ -137,6 +178,8 @@ def integer(e: E) -> str:
         return "CAST(NULL AS BIGINT)"
     if e.ty == "real":
         return f"CASE WHEN {e.sql} >= 9223372036854775807D THEN 9223372036854775807L WHEN {e.sql} <= -9223372036854775808D THEN (-9223372036854775807L - 1L) ELSE CAST({e.sql} AS BIGINT) END"
+    if e.ty == "cell":
+        return f"CASE WHEN {e.sql}.k = 1 THEN {e.sql}.i ELSE {integer(E(f'CASE WHEN {e.sql}.k = 2 THEN {e.sql}.s ELSE decode({e.sql}.b, {lit_text('UTF-8')}) END', 'text'))} END"
     t = text(e)
     big = f"try_cast(nullif(regexp_extract({t}, {lit_text(INT_PREFIX)}, 1), '') AS DECIMAL(38, 0))"
     return (
@@ -172,7 +215,7 @@ def cast(e: E, type_name: str) -> E:
     if aff == "text":
         return E(text(e), "text", "text", e.coll)
     if aff == "blob":
-        return replace(e, aff="blob", literal=None) if e.ty in ("blob", "null") else E(f"encode({text(e)}, 'UTF-8')", "blob", "blob")
+        return replace(e, aff="blob", literal=None) if e.ty in ("blob", "null") else E(f"CASE WHEN {e.sql}.k = 3 THEN {e.sql}.b ELSE encode({text(e)}, 'UTF-8') END", "blob", "blob") if e.ty == "cell" else E(f"encode({text(e)}, 'UTF-8')", "blob", "blob")
     if e.ty in ("int", "real"):
         return replace(e, aff="numeric", literal=None)
     return E(real(e), "real", "numeric")
@@ -199,6 +242,8 @@ def collation(a: E, b: E | None = None) -> str | None:
 
 def key(e: E, coll: str | None = None) -> str:
     """What stands for the value where values are compared as wholes: groups, distinct rows, order."""
+    if e.ty == "cell":
+        return cell_key(e, coll)
     return collated(e.sql, coll or e.coll) if e.ty == "text" else e.sql
 
 
@@ -218,7 +263,7 @@ def numeric(e: E) -> E:
 
 def number(sql: str) -> E:
     """A real result; not-a-number is NULL."""
-    return E(f"nullif({sql}, CAST('NaN' AS DOUBLE))", "real")
+    return E(f"nanvl({sql}, CAST(NULL AS DOUBLE))", "real")
 
 
 def arith(op: str, a: E, b: E) -> E:
@@ -253,7 +298,7 @@ def arith(op: str, a: E, b: E) -> E:
     p, q = real(x), real(y)
     if op == "/":
         return replace(number(f"CASE WHEN {q} = 0 THEN NULL ELSE {p} / {q} END"), agg=agg)
-    return E(f"({p} {op} {q})", "real", agg=agg)
+    return replace(number(f"({p} {op} {q})"), agg=agg)
 
 
 def negative(a: E) -> E:
@@ -307,6 +352,13 @@ def compare(op: str, a: E, b: E, unaffected: bool = False) -> E:
     done = lambda s: E(s, "bool", agg=agg)
     if "null" in (a.ty, b.ty):
         return done("CAST(NULL AS BOOLEAN)")
+    if "cell" in (a.ty, b.ty):
+        c = collation(a, b)
+        for x, y, swapped in ((a, b, False), (b, a, True)):
+            if x.ty == "cell" and y.aff == "text" and not unaffected:  # a column of text compares numbers as text
+                t = E(f"CASE WHEN {x.sql}.k = 3 THEN NULL ELSE {text(x)} END", "text")
+                return done(f"({collated(t.sql, c)} {op} {collated(text(y), c)})" if not swapped else f"({collated(text(y), c)} {op} {collated(t.sql, c)})")
+        return done(f"({cell_key(a, c)} {op} {cell_key(b, c)})")
     for x, y, swapped in ((a, b, False), (b, a, True)):
         if x.ty == "ts" and y.ty == "text" and isinstance(y.literal, str):
             stamp = f"try_cast({y.sql} AS TIMESTAMP)"
@@ -500,6 +552,8 @@ def first0(p: str, size: str) -> str:
 def length(e: E) -> str:
     if e.ty == "blob":
         return f"CAST(octet_length({e.sql}) AS BIGINT)"
+    if e.ty == "cell":
+        return f"CASE WHEN {e.sql}.k = 3 THEN CAST(octet_length({e.sql}.b) AS BIGINT) ELSE {length(E(text(e), 'text'))} END"
     t = text(e)
     return f"CAST(length(CASE WHEN instr({t}, '\\u0000') > 0 THEN substring_index({t}, '\\u0000', 1) ELSE {t} END) AS BIGINT)"
 
@@ -509,12 +563,16 @@ def common(parts: list[E]) -> str:
     kinds = {("int" if p.ty == "bool" else p.ty) for p in parts if p.ty != "null"}
     if not kinds:
         return "null"
+    if "cell" in kinds:
+        return "cell"
     if len(kinds) == 1:
         return kinds.pop()
     return "real" if kinds <= {"int", "real"} else "text"
 
 
 def as_type(e: E, ty: str) -> str:
+    if ty == "cell":
+        return cell(e)
     if ty == "real":
         return real(e)
     if ty == "text":
@@ -641,6 +699,8 @@ def call(name: str, args: list[E], state: dict) -> E:
     if name == "typeof":
         arity(1)
         kind = {"int": "integer", "bool": "integer", "ts": "text"}.get(args[0].ty, args[0].ty)
+        if args[0].ty == "cell":
+            return made(f"coalesce({args[0].sql}.t, 'null')", "text")
         if args[0].wide:
             return made(f"CASE WHEN {args[0].soft} IS NOT NULL THEN 'integer' WHEN {args[0].wide} IS NOT NULL THEN 'real' ELSE 'null' END", "text")
         return made("'null'" if kind == "null" else f"CASE WHEN {args[0].sql} IS NULL THEN 'null' ELSE '{kind}' END", "text")
@@ -781,6 +841,10 @@ def call(name: str, args: list[E], state: dict) -> E:
             return made(f"coalesce({text(a)}, 'NULL')", "text")
         if a.ty == "null":
             return made("'NULL'", "text")
+        if a.ty == "cell":
+            of = {"integer": ("i", "int"), "real": ("d", "real"), "text": ("s", "text"), "blob": ("b", "blob")}
+            arms = " ".join(f"WHEN '{t}' THEN {call('quote', [E(f'{a.sql}.{x}', ty)], state).sql}" for t, (x, ty) in of.items())
+            return made(f"CASE {a.sql}.t {arms} ELSE 'NULL' END", "text")
         body = f"concat('X\\'', hex({a.sql}), '\\'')" if a.ty == "blob" else f"concat('\\'', replace({text(a)}, '\\'', '\\'\\''), '\\'')"
         return made(f"coalesce({body}, 'NULL')", "text")
     if name == "zeroblob":

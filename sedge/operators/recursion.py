@@ -76,7 +76,7 @@ def widened(low, state, base, steps, names) -> list[Column]:
 
 def aligned(low, rel: Rel, columns: list[Column]) -> str:
     q = low.fresh()
-    kinds = {"int": "BIGINT", "real": "DOUBLE", "text": "STRING", "blob": "BINARY", "null": "STRING", "ts": "TIMESTAMP"}
+    kinds = {"int": "BIGINT", "real": "DOUBLE", "text": "STRING", "blob": "BINARY", "null": "STRING", "ts": "TIMESTAMP", "cell": S.CELL}
     cells = ", ".join(f"CAST({S.as_type(E(f'{q}.c{i}', p.ty, narrow=p.narrow), c.ty)} AS {kinds[c.ty]}) AS c{i}" for i, (p, c) in enumerate(zip(rel.columns, columns)))
     return f"SELECT {cells} FROM ({rel.sql}) {q}"
 

@@ -119,6 +119,26 @@ ENTRIES: list[tuple[str, str, str | None]] = [
     ("limit_far", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 9223372036854775807 OFFSET 100", "SELECT o_orderkey FROM orders ORDER BY o_orderkey OFFSET 100"),
     ("date_overflow_of_months", "SELECT o_orderkey, date(o_orderdate, 'start of month', '+30 days', '+1 month') AS d, strftime('%W', o_orderdate) AS w FROM orders",
      "WITH d AS (SELECT o_orderkey, o_orderdate, date_trunc('month', o_orderdate) + INTERVAL 30 DAY AS x FROM orders) SELECT o_orderkey, strftime(date_trunc('month', x) + INTERVAL 1 MONTH + to_days(CAST(day(x) - 1 AS INTEGER)), '%Y-%m-%d') AS d, strftime(o_orderdate, '%W') AS w FROM d"),
+    ("quoted_fallback", 'SELECT "no such thing" AS a, r_name FROM region', "SELECT 'no such thing' AS a, r_name FROM region"),
+    ("join_right_using_star", "SELECT n.*, r_name FROM region r RIGHT JOIN (SELECT n_regionkey + 2 AS r_regionkey, n_name FROM nation) n USING (r_regionkey)", "SELECT CAST(n_regionkey + 2 AS BIGINT) AS r_regionkey, n_name, r_name FROM nation LEFT JOIN region ON r_regionkey = n_regionkey + 2"),
+    ("having_alone", "SELECT count(*) AS n, max(o_orderkey) AS m FROM orders HAVING count(*) > 3", None),
+    ("window_values", "SELECT c_custkey, percent_rank() OVER w AS p, cume_dist() OVER w AS d, first_value(c_acctbal) OVER w AS f, nth_value(c_acctbal, 2) OVER w AS s, last_value(c_acctbal) OVER (PARTITION BY c_nationkey ORDER BY c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l, ntile(3) OVER w AS t FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey)", None),
+    ("window_exclude_sum", "SELECT c_custkey, sum(c_nationkey) OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE GROUP) AS g, sum(c_custkey) OVER (PARTITION BY c_mktsegment ORDER BY c_custkey ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING EXCLUDE CURRENT ROW) AS c FROM customer",
+     "SELECT c_custkey, CAST(sum(c_nationkey) OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE GROUP) AS BIGINT) AS g, CAST(sum(c_custkey) OVER (PARTITION BY c_mktsegment ORDER BY c_custkey ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING EXCLUDE CURRENT ROW) AS BIGINT) AS c FROM customer"),
+    ("order_collate", MIXED + " SELECT id, a FROM m ORDER BY a COLLATE NOCASE DESC, id LIMIT 3", MIXED + " SELECT CAST(id AS BIGINT) AS id, a FROM m ORDER BY lower(a) DESC NULLS LAST, id LIMIT 3"),
+    ("order_of_compound", "SELECT o_orderkey AS k FROM orders WHERE o_custkey % 2 = 0 UNION ALL SELECT c_custkey FROM customer ORDER BY k DESC LIMIT 40", None),
+    ("cte_hints", "WITH a AS MATERIALIZED (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1), b AS NOT MATERIALIZED (SELECT k FROM a WHERE n > 12) SELECT a.k, a.n FROM a JOIN b ON a.k = b.k", None),
+    ("precedence", "SELECT 1 + 2 * 3 - 7 % 4 AS a, 1 || 2 + 3 AS b, 2 * 3 || 4 AS c, 1 < 2 = 1 AS d, NOT 1 = 2 AS e, 1 + 1 << 2 AS f, 5 & 3 = 1 AS g, 1 OR 0 AND 0 AS h, - 2 * -3 AS i, ~1 + 1 AS j",
+     "SELECT CAST(4 AS BIGINT) AS a, CAST(15 AS DOUBLE) AS b, CAST(68 AS DOUBLE) AS c, CAST(1 AS BIGINT) AS d, CAST(1 AS BIGINT) AS e, CAST(8 AS BIGINT) AS f, CAST(1 AS BIGINT) AS g, CAST(1 AS BIGINT) AS h, CAST(6 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS j"),
+    ("literals", "SELECT 0x1F AS a, 1e3 AS b, .5 AS c, hex(x'4142') AS d, 'it''s' AS e, 9223372036854775807 AS f, -9223372036854775808 AS g, TRUE AS h", "SELECT CAST(31 AS BIGINT) AS a, CAST(1000 AS DOUBLE) AS b, CAST(0.5 AS DOUBLE) AS c, '4142' AS d, 'it''s' AS e, 9223372036854775807 AS f, CAST('-9223372036854775808' AS BIGINT) AS g, CAST(1 AS BIGINT) AS h"),
+    ("row_value_between", "SELECT o_orderkey, (o_custkey, o_orderkey) BETWEEN (100, 5) AND (900, 2) AS b, CASE (o_custkey % 2, o_orderkey % 2) WHEN (0, 0) THEN 'even' WHEN (1, 1) THEN 'odd' ELSE 'mixed' END AS c FROM orders",
+     "SELECT o_orderkey, CAST((o_custkey > 100 OR o_custkey = 100 AND o_orderkey >= 5) AND (o_custkey < 900 OR o_custkey = 900 AND o_orderkey <= 2) AS BIGINT) AS b, CASE WHEN o_custkey % 2 = 0 AND o_orderkey % 2 = 0 THEN 'even' WHEN o_custkey % 2 = 1 AND o_orderkey % 2 = 1 THEN 'odd' ELSE 'mixed' END AS c FROM orders"),
+    ("nan_is_null", "SELECT 9e999 - 9e999 AS a, 0 * 9e999 AS b, typeof(9e999 - 9e999) AS t, 9e999 > 1 AS c", "SELECT CAST(NULL AS DOUBLE) AS a, CAST(NULL AS DOUBLE) AS b, 'null' AS t, CAST(1 AS BIGINT) AS c"),
+    ("in_affinity", "SELECT count(*) AS n, '1' IN (1, 2) AS lone, 1 IN ('1') AS other FROM part WHERE p_partkey IN ('1', '2', 'x')", "SELECT CAST(2 AS BIGINT) AS n, CAST(0 AS BIGINT) AS lone, CAST(0 AS BIGINT) AS other"),
+    ("distinct_text_list", "SELECT o_orderpriority, length(group_concat(DISTINCT o_orderstatus)) AS l FROM orders GROUP BY 1", "SELECT o_orderpriority, CAST(2 * count(DISTINCT o_orderstatus) - 1 AS BIGINT) AS l FROM orders GROUP BY 1"),
+    ("mixed_typeof", "SELECT typeof(column1) AS t, length(column1) AS l, quote(column1) AS q FROM (VALUES (1), ('x'), (2.5), (NULL), (x'41ff'))", "SELECT * FROM (VALUES ('integer', CAST(1 AS BIGINT), '1'), ('text', 1, '''x'''), ('real', 3, '2.5'), ('null', NULL, 'NULL'), ('blob', 2, 'X''41FF''')) v(t, l, q)"),
+    ("mixed_order", "SELECT quote(column1) AS q, row_number() OVER (ORDER BY column1) AS n FROM (VALUES ('b'), (10), (x'00'), (9.5), (NULL), ('a'), (-1))", "SELECT * FROM (VALUES ('NULL', CAST(1 AS BIGINT)), ('-1', 2), ('9.5', 3), ('10', 4), ('''a''', 5), ('''b''', 6), ('X''00''', 7)) v(q, n)"),
+    ("mixed_group", "SELECT typeof(min(column1)) AS t, count(*) AS n FROM (VALUES (1), ('1'), (2), ('1'), (2), (x'31')) GROUP BY column1", "SELECT * FROM (VALUES ('integer', CAST(1 AS BIGINT)), ('text', 2), ('integer', 2), ('blob', 1)) v(t, n)"),
     ("overflow_to_real", "SELECT 9223372036854775807 + 0.0 AS a, 9223372036854775808 AS b, 9223372036854775807 > 9223372036854775807.0 AS c", "SELECT CAST(9223372036854775807 AS DOUBLE) AS a, CAST(9223372036854775808 AS DOUBLE) AS b, CAST(0 AS BIGINT) AS c"),
     ("bitops_shift", "SELECT p_partkey, p_size & 6 AS a, p_size | 8 AS b, ~p_size AS c, p_size << 2 AS d, p_size >> 1 AS e, p_size << -1 AS f, p_size << 64 AS g, -p_size >> 70 AS h FROM part",
      "SELECT p_partkey, CAST(p_size & 6 AS BIGINT) AS a, CAST(p_size | 8 AS BIGINT) AS b, CAST(-p_size - 1 AS BIGINT) AS c, CAST(p_size * 4 AS BIGINT) AS d, CAST(p_size // 2 AS BIGINT) AS e, CAST(p_size // 2 AS BIGINT) AS f, CAST(0 AS BIGINT) AS g, CAST(CASE WHEN p_size = 0 THEN 0 ELSE -1 END AS BIGINT) AS h FROM part"),
@@ -200,6 +220,20 @@ SCRIPTS: list[tuple[str, str, str]] = [
      "SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'a', 'TEXT', CAST(0 AS BIGINT), NULL, CAST(0 AS BIGINT)), (1, 'b', 'INT', 0, '1 + 2', 0), (2, 'c', '', 0, '''it''''s''', 0), (3, 'd', 'REAL', 0, '-5', 0)) t(cid, name, type, \"notnull\", dflt_value, pk)"),
     ("pragma_index_desc", _T + "CREATE INDEX ix ON t(n DESC, a); PRAGMA index_xinfo(ix)",
      "SELECT * FROM (VALUES (CAST(0 AS BIGINT), CAST(2 AS BIGINT), 'n', CAST(1 AS BIGINT), 'BINARY', CAST(1 AS BIGINT)), (1, 1, 'a', 0, 'NOCASE', 1), (2, -1, NULL, 0, 'BINARY', 0)) t(seqno, cid, name, \"desc\", coll, key)"),
+    ("check_short_circuit", "CREATE TABLE q(x INT CHECK (x IS NULL OR x = 0 OR 10 / x > 0)); INSERT INTO q VALUES (NULL), (5), (0); SELECT x FROM q", "SELECT * FROM (VALUES (CAST(NULL AS BIGINT)), (5), (0)) t(x)"),
+    ("generated_null_extended", "CREATE TABLE g(k INT, d INT AS (coalesce(k, 0) + 1)); INSERT INTO g SELECT r_regionkey FROM region WHERE r_regionkey < 2; SELECT r_regionkey, d FROM region LEFT JOIN g ON k = r_regionkey", "SELECT r_regionkey, CASE WHEN r_regionkey < 2 THEN CAST(r_regionkey + 1 AS BIGINT) END AS d FROM region"),
+    ("with_insert", _T + "WITH s AS (SELECT r_name AS x FROM region) INSERT INTO t(a) SELECT x FROM s; SELECT a, n FROM t WHERE id > 24", "SELECT r_name AS a, CAST(12 AS BIGINT) AS n FROM region"),
+    ("counters", _T + "UPDATE t SET n = 1 WHERE id < 5; INSERT INTO t(a) VALUES ('zz'); SELECT changes() AS c, total_changes() AS t, last_insert_rowid() AS r", "SELECT CAST(1 AS BIGINT) AS c, CAST(31 AS BIGINT) AS t, CAST(25 AS BIGINT) AS r"),
+    ("default_values", "CREATE TABLE d(a INT DEFAULT 4, b TEXT DEFAULT 'q'); INSERT INTO d DEFAULT VALUES; INSERT INTO d(b) VALUES ('r'); SELECT a, b FROM d", "SELECT * FROM (VALUES (CAST(4 AS BIGINT), 'q'), (4, 'r')) t(a, b)"),
+    ("self_insert", "CREATE TABLE o AS SELECT o_orderkey AS k, o_custkey AS c FROM orders; INSERT INTO o SELECT k + 1000000, c FROM o; SELECT count(*) AS n, sum(k) AS s, count(DISTINCT c) AS d FROM o", "SELECT 2 * count(*) AS n, CAST(2 * sum(o_orderkey) + 1000000 * count(*) AS BIGINT) AS s, count(DISTINCT o_custkey) AS d FROM orders"),
+    ("not_null_default", "CREATE TABLE d(a INT NOT NULL DEFAULT 7, b INT); INSERT OR REPLACE INTO d VALUES (NULL, 1), (2, 2); SELECT a, b FROM d", "SELECT * FROM (VALUES (CAST(7 AS BIGINT), CAST(1 AS BIGINT)), (2, 2)) t(a, b)"),
+    ("drop_objects", "CREATE TABLE a1(x); CREATE VIEW v1 AS SELECT 1 AS x; CREATE INDEX i1 ON a1(x); DROP INDEX i1; DROP VIEW v1; DROP TABLE a1; DROP TABLE IF EXISTS a1; CREATE TABLE a1(y INT); INSERT INTO a1 SELECT n_nationkey FROM nation; SELECT y FROM a1", "SELECT CAST(n_nationkey AS BIGINT) AS y FROM nation"),
+    ("alter_constraints", "CREATE TABLE z(a INT, b INT, c INT); INSERT INTO z SELECT n_nationkey, 0, n_regionkey FROM nation; ALTER TABLE z DROP COLUMN b; ALTER TABLE z ALTER COLUMN a SET NOT NULL; ALTER TABLE z ALTER COLUMN a DROP NOT NULL; INSERT INTO z VALUES (NULL, 9); SELECT a, c FROM z", "SELECT CAST(n_nationkey AS BIGINT) AS a, CAST(n_regionkey AS BIGINT) AS c FROM nation UNION ALL SELECT NULL, 9"),
+    ("pragma_table_list", "CREATE TABLE q1(a INT, b INT) STRICT; PRAGMA table_list(q1)", "SELECT 'main' AS schema, 'q1' AS name, 'table' AS type, CAST(2 AS BIGINT) AS ncol, CAST(0 AS BIGINT) AS wr, CAST(1 AS BIGINT) AS strict"),
+    ("pragma_user_version", "PRAGMA user_version = 12; PRAGMA user_version", "SELECT CAST(12 AS BIGINT) AS user_version"),
+    ("savepoint_release", _T + "SAVEPOINT a; DELETE FROM t WHERE id < 20; SAVEPOINT b; DELETE FROM t; ROLLBACK TO b; RELEASE a; SELECT id FROM t", "SELECT CAST(n_nationkey AS BIGINT) AS id FROM nation WHERE n_nationkey >= 20"),
+    ("strict_any", "CREATE TABLE k(i INT, a ANY) STRICT; INSERT INTO k VALUES (1, 5); INSERT INTO k VALUES (2, 'x'), (3, 2.5), (4, '0012'), (5, NULL); SELECT i, typeof(a) AS t, quote(a) AS q FROM k", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'integer', '5'), (2, 'text', '''x'''), (3, 'real', '2.5'), (4, 'text', '''0012'''), (5, 'null', 'NULL')) t(i, t, q)"),
+    ("untyped_column", "CREATE TABLE u(a); INSERT INTO u SELECT o_orderkey FROM orders; INSERT INTO u SELECT o_orderstatus FROM orders; INSERT INTO u SELECT o_totalprice FROM orders; SELECT typeof(a) AS t, count(*) AS n, count(DISTINCT a) AS d FROM u GROUP BY 1", "SELECT 'integer' AS t, count(*) AS n, count(DISTINCT o_orderkey) AS d FROM orders UNION ALL SELECT 'text', count(*), count(DISTINCT o_orderstatus) FROM orders UNION ALL SELECT 'real', count(*), count(DISTINCT o_totalprice) FROM orders"),
     ("pragma_table_info", _T + "PRAGMA table_info(t)", "SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'id', 'INTEGER', CAST(0 AS BIGINT), NULL, CAST(1 AS BIGINT)), (1, 'a', 'TEXT', 0, NULL, 0), (2, 'n', 'NUMERIC', 0, '12', 0)) t(cid, name, type, \"notnull\", dflt_value, pk)"),
 ]
 
@@ -226,9 +260,42 @@ def _script(sql: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: connect(spark, sf_dir).execute_batch(sql)[-1].df
 
 
+def image_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by customer of a table that went through a database image, with its index."""
+    from sedge.sources.image import attach
+    from sedge.sources.image_writer import export
+    from sedge.sources.scratch import fresh_path
+
+    con, again = connect(spark, sf_dir), Connection(spark)
+    con.execute_batch("CREATE TABLE t(id INTEGER PRIMARY KEY, c INT, s TEXT, p REAL); INSERT INTO t SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders; CREATE INDEX i ON t(c DESC, s)")
+    path = f"{fresh_path(spark, 'image')}.db"
+    export(con, path)
+    attach(again, path)
+    return again.sql("SELECT c, s, count(*) AS n, max(id) AS last, round(max(p), 2) AS most FROM t GROUP BY 1, 2")
+
+
+def folder_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a table that a second connection finds in the folder of the first after its commits."""
+    from sedge.sources.scratch import fresh_path
+    from sedge.sources.store import load, opened
+
+    folder = fresh_path(spark, "folder")
+    con = opened(spark, folder)
+    con.offer("orders", lambda: spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_orderkey")
+    con.execute_batch("CREATE TABLE t AS SELECT o_orderkey AS k, o_custkey AS c FROM orders; BEGIN; DELETE FROM t WHERE k % 3 = 0; COMMIT; BEGIN; DELETE FROM t; ROLLBACK")
+    return load(spark, folder).sql("SELECT c, count(*) AS n FROM t GROUP BY 1")
+
+
+#: (function, DuckDB SQL): sources and sinks.
+ROUND_TRIPS = [
+    (image_round_trip, "SELECT o_custkey AS c, o_orderstatus AS s, count(*) AS n, max(o_orderkey) AS last, round(max(o_totalprice), 2) AS most FROM orders GROUP BY 1, 2"),
+    (folder_round_trip, "SELECT o_custkey AS c, count(*) AS n FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY 1"),
+]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {n: _query(sql) for n, sql, _ in ENTRIES} | {n: _script(sql) for n, sql, _ in SCRIPTS}
+    return {n: _query(sql) for n, sql, _ in ENTRIES} | {n: _script(sql) for n, sql, _ in SCRIPTS} | {f.__name__: f for f, _ in ROUND_TRIPS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: other or sql for n, sql, other in ENTRIES} | {n: other for n, _, other in SCRIPTS}
+    return {n: other or sql for n, sql, other in ENTRIES} | {n: other for n, _, other in SCRIPTS} | {f.__name__: sql for f, sql in ROUND_TRIPS}

@@ -257,7 +257,14 @@ def image(con: Connection, page_size: int = 4096) -> bytes:
     """The image of all tables that the connection made, with their views and indexes."""
     pages, schema = Pages(page_size), []
     rows_of = lambda df: (tuple(r) for r in df.toLocalIterator())
-    real = lambda c, v: float(v) if c.ty == "real" and v is not None else v
+
+    def real(c, v):
+        if v is None:
+            return None
+        if c.ty == "cell":
+            return {"integer": v["i"], "real": v["d"], "text": v["s"], "blob": v["b"]}[v["t"]]
+        return float(v) if c.ty == "real" else v
+
 
     sequences = []
     for t in con.catalog.tables.values():

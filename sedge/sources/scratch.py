@@ -4,18 +4,27 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no folder (tests, a single machine).
 LOCAL_SCRATCH = "file:///tmp/checkpoints"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table that cuts its lineage; the files go when the application ends."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path there, deleted when the application ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = LOCAL_SCRATCH
     path = f"{base.rstrip('/')}/sedge-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table that cuts its lineage; the files go when the application ends."""
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -22,7 +22,7 @@ from sedge.sql.lexer import SqlError
 from sedge.sql.lower import Column, Field, Lowering, Scope
 from sedge.sql.parser import N, Node, parse
 
-_SPARK = {"int": "bigint", "real": "double", "text": "string", "blob": "binary", "null": "string", "ts": "timestamp"}
+_SPARK = {"int": "bigint", "real": "double", "text": "string", "blob": "binary", "null": "string", "ts": "timestamp", "cell": S.CELL}
 STRICT_TYPES = {"INT": "int", "INTEGER": "int", "REAL": "real", "TEXT": "text", "BLOB": "blob", "ANY": "null"}
 ROWID = "_rowid_"
 
@@ -91,7 +91,8 @@ class Result:
     changes: int = 0
 
     def rows(self) -> list[tuple]:
-        return [tuple(r) for r in self.df.collect()] if self.df is not None else []
+        plain = lambda v: v.toPython() if isinstance(v, T.VariantVal) else v
+        return [tuple(map(plain, r)) for r in self.df.collect()] if self.df is not None else []
 
 
 def spark_kind(t: T.DataType) -> tuple[str, bool]:
@@ -270,7 +271,7 @@ class Connection:
     # --- queries ---
 
     def s_query(self, s, low):
-        sql, columns = low.statement(s.query)
+        sql, columns = low.statement(s.query, True)
         return Result([c.label for c in columns], self.spark.sql(sql))
 
     def s_explain(self, s, low):
@@ -314,6 +315,7 @@ class Connection:
                 if c.type.upper() not in STRICT_TYPES:
                     raise SqlError(f"unknown datatype for {s.name}.{c.name}: {c.type!r}")
                 ty = STRICT_TYPES[c.type.upper()]
+                aff = "blob" if c.type.upper() == "ANY" else aff  # keeps whatever comes
             else:
                 ty = {"int": "int", "real": "real", "text": "text"}.get(aff, "null")
             S.collated("", c.collate)
@@ -549,6 +551,8 @@ class Connection:
         if c.aff == "numeric" and ty == "text":
             n = S.whole_number(e)
             return f"CASE WHEN {e.sql} IS NULL THEN NULL ELSE coalesce({n}, raise_error('datatype mismatch')) END", "real" if want in ("null", "real") else S.common([E("", want), E("", "real")])
+        if want == "cell":
+            return S.cell(e), "cell"
         if want == "null":
             return S.out(e), ty
         if ty == "null":
@@ -556,6 +560,8 @@ class Connection:
         if ty == want:
             return S.out(e), want
         bad = f"raise_error('cannot store {ty.upper()} value in {want.upper()} column {c.label}')"
+        if c.aff == "blob" and (not strict or c.declared.upper() == "ANY"):
+            return S.cell(e), "cell"  # an untyped column that has seen several classes
         if want in ("int", "real") and ty in ("int", "real"):
             if want == "real":
                 return S.real(replace(e, ty=ty, sql=S.out(e))), want
@@ -570,8 +576,6 @@ class Connection:
             if strict and ty != "ts":
                 return S.text(e), want
             return S.text(e), want
-        if c.aff == "blob":
-            return S.text(e), "text"  # an untyped column that has seen several classes
         return f"CASE WHEN {e.sql} IS NULL THEN NULL ELSE {bad} END", want
 
     def _numbered(self, df: DataFrame, start: int, column: str = ROWID) -> tuple[DataFrame, int]:
@@ -654,7 +658,8 @@ class Connection:
         columns = [replace(c, ty=changed[c.label]) if c.label in changed else c for c in t.columns]
         df = t.df
         for n, ty in changed.items():
-            df = df.withColumn(n, F.col(f"`{n}`").cast(_SPARK[ty]))
+            was = next(c.ty for c in t.columns if c.label == n)
+            df = df.withColumn(n, F.expr(S.cell(E(f"`{n}`", was))) if ty == "cell" else F.col(f"`{n}`").cast(_SPARK[ty]))
         return replace(t, columns=columns, df=df)
 
     def _generate(self, t: Table, df: DataFrame) -> DataFrame:
@@ -763,7 +768,7 @@ class Connection:
             cols += low.star(c, scope) if c.kind == "star" else [c]
         bound = [low.expr(c.expr, scope) for c in cols]
         labels = [c.alias or low.label(c, scope) for c in cols]
-        cells = ", ".join(f"{S.out(e)} AS `{n}`" for e, n in zip(bound, labels))
+        cells = ", ".join(f"{S.shown(e.sql) if e.ty == 'cell' else S.out(e)} AS `{n}`" for e, n in zip(bound, labels))
         by = " ORDER BY o._ord" if "_ord" in rows.columns else ""
         return Result(labels, self.spark.sql(f"SELECT {cells} FROM {name} o{by}"))
 
@@ -989,6 +994,8 @@ class Connection:
 
 
 def _type(ty: str) -> T.DataType:
+    if ty == "cell":
+        return T.StructType.fromDDL("k int, d double, i bigint, s string, b binary, t string")
     return {"int": T.LongType(), "real": T.DoubleType(), "text": T.StringType(), "blob": T.BinaryType(), "ts": T.TimestampType(), "bool": T.BooleanType()}.get(ty, T.StringType())
 
 
