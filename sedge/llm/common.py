@@ -62,9 +62,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def partitions(spark: SparkSession, *sources: DataFrame) -> int:
-    """Tasks of a shuffle: the session's setting, and more where the stored sources are larger than TASK_BYTES for each."""
+    """Tasks of a shuffle: the session's setting, and more where the files that the sources read are larger than TASK_BYTES for each."""
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = sum(int(str(s._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for s in sources)
+    size = 0
+    for source in sources:
+        leaves = source._jdf.queryExecution().optimizedPlan().collectLeaves()
+        size += sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     return max(least, min(MOST_PARTITIONS, -(-size // TASK_BYTES))) if size < 1 << 60 else least  # beyond that Spark doesn't know the size
 
 
