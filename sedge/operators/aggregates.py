@@ -101,10 +101,11 @@ def _listed(low, e, args, scope, rowid, cond) -> str:
     if e.distinct:
         same = S.collated("{}.v", args[0].coll)
         sole = len(e.order) == 1 and e.order[0].expr == e.args[0]
-        pick = "list_last" if sole else "first"
-        if pick == "first":
-            items = f"aggregate({items}, slice({items}, 1, 0), (acc, y) -> CASE WHEN exists(acc, z -> {same.format('z')} = {same.format('y')}) THEN acc ELSE concat(acc, array(y)) END)"
-        else:
-            items = f"aggregate({items}, slice({items}, 1, 0), (acc, y) -> concat(filter(acc, z -> {same.format('z')} <> {same.format('y')}), array(y)))"
+        # Equal texts stand together after a sort by key; the first (or last) of each stays, and the order before comes back.
+        place = "r.i - l.i" if sole else "l.i - r.i"
+        numbered = f"transform({items}, (y, i) -> struct({same.format('y')} AS k, i AS i, y AS y))"
+        runs = f"array_sort({numbered}, (l, r) -> CASE WHEN l.k < r.k THEN -1 WHEN l.k > r.k THEN 1 ELSE {place} END)"
+        heads = f"filter(arrays_zip({runs}, concat(array(NULL), {runs})), z -> z.`0` IS NOT NULL AND (z.`1` IS NULL OR z.`1`.k <> z.`0`.k))"
+        items = f"transform(array_sort(transform({heads}, z -> struct(z.`0`.i AS i, z.`0`.y AS y)), (l, r) -> l.i - r.i), w -> w.y)"
     joined = f"array_join(transform({items}, (y, i) -> CASE WHEN i = 0 THEN y.v ELSE concat(coalesce(y.sep, ''), y.v) END), '')"
     return f"CASE WHEN count(CASE WHEN {test} THEN 1 END) > 0 THEN {joined} END"

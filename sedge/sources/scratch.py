@@ -27,4 +27,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table that cuts its lineage; the files go when the application ends."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path  # tells a written frame from a plan over one
+    return out

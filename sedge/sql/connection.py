@@ -690,6 +690,11 @@ class Connection:
         scope, low = self._scope(t, "k"), self.lowering()
         rules = [(f"k.`{c.label}` IS NULL", policy or c.notnull, f"NOT NULL constraint failed: {t.name}.{c.label}") for c in t.columns if c.notnull and not (c.label == t.rowid_alias)]
         rules += [(f"NOT coalesce({S.truth(low.expr(e, scope))}, true)", policy or "abort", f"CHECK constraint failed: {label or t.name}") for label, e in t.checks]
+        if rules and all(how not in ("ignore", "fail") for _, how, _ in rules):
+            # One pass for all; only where a row breaks any is it asked which.
+            df.createOrReplaceTempView("sedge_check")
+            if self.spark.sql("SELECT 1 FROM sedge_check k WHERE " + " OR ".join(f"({cond})" for cond, _, _ in rules)).isEmpty():
+                return df
         for cond, how, message in rules:
             df.createOrReplaceTempView("sedge_check")
             if how == "ignore":
@@ -720,6 +725,7 @@ class Connection:
         keys = list(t.keys)
         if t.rowid_alias is None and not t.without_rowid:
             keys = [Key("rowid", [N("name", table=None, name=ROWID, quoted=False)], "abort"), *keys]
+        later: list[tuple[DataFrame, str, str]] = []
         for k in [k for k in keys if k.unique]:
             how = policy or k.policy
             a, where_a = self._key_sql(t, k, "a")
@@ -739,11 +745,24 @@ class Connection:
                 continue
             twice = f"SELECT * EXCEPT (_n) FROM (SELECT a.*, row_number() OVER (PARTITION BY {', '.join(a)} ORDER BY a._ord) AS _n FROM sedge_new a WHERE {where_a}) WHERE _n > 1"
             bad = self.spark.sql(f"{clash} UNION ALL {twice}")
-            self._refuse(s, t, new, bad, how, f"UNIQUE constraint failed: {k.name if k.origin == 'c' else ', '.join(f'{t.name}.{n}' for n in sorted(_names(k.terms)))}")
+            message = f"UNIQUE constraint failed: {k.name if k.origin == 'c' else ', '.join(f'{t.name}.{n}' for n in sorted(_names(k.terms)))}"
+            if how == "fail":
+                self._refuse(s, t, new, bad, how, message)
+            else:
+                later.append((bad, how, message))
+        # One pass for all keys; only where one is broken is it asked which.
+        if len(later) > 1:
+            some = later[0][0].select("_ord")
+            for bad, _, _ in later[1:]:
+                some = some.unionAll(bad.select("_ord"))
+            later = [] if some.isEmpty() else later
+        for bad, how, message in later:
+            self._refuse(s, t, new, bad, how, message)
         return old, new
 
     def _changed(self, s, t: Table, old: DataFrame, new: DataFrame, n_last: bool = False) -> Result:
-        new = written(new, "changed")
+        if getattr(new, "scratch_path", None) is None:
+            new = written(new, "changed")
         n = new.count()
         if n_last and n:
             self.state["last_insert_rowid"] = new.orderBy(F.desc("_ord")).select(ROWID).first()[0]
