@@ -30,14 +30,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sedge.llm.common import arrow_rows, fresh_path, partitions, written
+from sedge.llm.common import arrow_rows, free, fresh_path, partitions, written
 
 LEAST_BYTES = 100
 #: WARC-Date of captures whose table has no time.
 EPOCH = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Fixed value: a gzip member of nothing. No record can hold it: its second byte is not UTF-8, and deflated data hold it by chance once in 2^160 places.
-BORDER = bytes.fromhex("1f8b08000000000000030300000000000000" "0000")
+BORDER = bytes.fromhex("1f8b08000000000000030300") + bytes(8)
 #: Captures of a run at most.
 RUN_ROWS = 200_000
 
@@ -89,6 +89,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     records = full.withColumn("revisit", revisit).withColumn("block", block).select(F.encode(F.concat(head, "block", F.lit(eol + eol)), "UTF-8").alias("value"))
     packed = records.mapInArrow(_members, "value binary").select(F.col("value").cast("string"))
     packed.write.option("compression", "none").option("encoding", "ISO-8859-1").option("lineSep", BORDER.decode("latin-1")).text(folder)
+    free(rows, holders)
 
 
 _HEADER = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)\r\n")
