@@ -757,7 +757,7 @@ def test_quotes_against_sql(spark):
     want = con.sql(oracle_sql()["op8_quotes"])
     mail = spark.createDataFrame(MAIL[:-1], "conv_id long, turn long, role string, text string")
     df = quotes.in_order(quotes.quote_links(quotes.with_quoting_replies(mail))).withColumn("text_sha256", F.sha2("text", 256))
-    assert df.where("turn >= 1000000 AND reply_to IS NULL").count() < 3
+    assert df.where("turn >= 1000000 AND reply_to IS NOT NULL").count() >= 2  # those of messages in words of their own
     assert sorted(map(str, df.select(*want.columns).collect())) == sorted(str(Row(*want.columns)(*r)) for r in want.fetchall())
 
 
