@@ -39,10 +39,14 @@ def _line(x):
 
 def _windows(words, size: int):
     """Hashes of all windows of a text's words; a shorter text has one of its own kind."""
-    split = F.split(words, " ")
-    n = F.size(split)
-    windows = F.transform(F.sequence(F.lit(1), F.greatest(n - (size - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(split, i, F.lit(size)), " ")))
-    return F.when(n < size, F.array(F.xxhash64(F.concat(F.lit("= "), words)))).otherwise(windows)
+
+    def of(split):
+        n = F.size(split)
+        windows = F.transform(F.sequence(F.lit(1), F.greatest(n - (size - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(split, i, F.lit(size)), " ")))
+        return F.when(n < size, F.array(F.xxhash64(F.concat(F.lit("= "), F.array_join(split, " "))))).otherwise(windows)
+
+    # The words are bound once: an expression in a lambda is computed anew for each element.
+    return F.transform(F.array(F.split(words, " ")), of)[0]
 
 
 def quote_links(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", size: int = WORDS) -> DataFrame:
