@@ -23,10 +23,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table that cuts its lineage; the files go when the application ends."""
+def written(df: DataFrame, name: str, wide: bool = False) -> DataFrame:
+    """df as a table that cuts its lineage; the files go when the application ends. wide: of rows so large that a batch of
+    them must not grow beyond small row groups."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    out = df.write
+    if wide:
+        out = out.option("parquet.block.size", str(16 << 20)).option("parquet.page.size.row.check.min", "4")
+    out.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch_path = path  # tells a written frame from a plan over one
     return out

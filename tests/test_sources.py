@@ -181,3 +181,66 @@ def test_logs_are_laid_over_their_image(tmp_path):
     assert len(got) == 300 and got[2] == {"rowid": 3, "values": [{"integer": 2}, {"text": "xx"}]}
     assert list(lines([copy, "info", "--wal", log]))[0]["encoding"] == "utf-8" and [x["name"] for x in lines([copy, "schema", "--wal", log])] == ["t"]
     m.close()
+
+
+@pytest.mark.parametrize("page, parts", [(512, 3), (512, 200), (4096, 7)])
+def test_images_written_and_read_in_parts(spark, tmp_path, monkeypatch, page, parts):
+    """Trees that many tasks made, chains and entries at their borders; a file read by pages is what it is as a whole."""
+    from sedge.sources import image as reading
+    from sedge.sources import image_writer as writing
+
+    con, path = filled(spark), str(tmp_path / "out.db")
+    with monkeypatch.context() as m:
+        m.setattr(writing, "BLOCK", 2048)
+        before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        try:
+            con.execute("CREATE INDEX wide ON t(a COLLATE RTRIM DESC, b)")
+            writing.export(con, f"file://{path}", page)
+        finally:
+            for k, v in before.items():
+                spark.conf.set(k, v)
+    m = sqlite3.connect(path)
+    assert m.execute("PRAGMA integrity_check").fetchall() == [("ok",)]
+    for q in ("SELECT id, a, n, r, g FROM t ORDER BY id", "SELECT k, v, j FROM w ORDER BY v"):
+        assert m.execute(q).fetchall() == con.execute(q).rows(), q
+    m.close()
+    monkeypatch.setattr(reading, "WHOLE", 0)
+    monkeypatch.setattr(reading, "SPLIT", 8192)
+    again = Connection(spark)
+    attach(again, f"file://{path}")
+    for q in ("SELECT id, a, n, r, b, g FROM t ORDER BY id", "SELECT k, v, j FROM w ORDER BY v"):
+        assert again.execute(q).rows() == con.execute(q).rows(), q
+
+
+@pytest.mark.parametrize("page, encoding", [(512, "UTF-8"), (65536, "UTF-16be")])
+def test_attach_reads_large_files_by_pages(spark, tmp_path, monkeypatch, page, encoding):
+    from sedge.sources import image as reading
+
+    path = str(tmp_path / "a,b [1].db")
+    t, w, v = image(path, page, encoding)
+    monkeypatch.setattr(reading, "WHOLE", 0)
+    monkeypatch.setattr(reading, "SPLIT", 8192)
+    con = Connection(spark)
+    attach(con, f"file://{path}".replace("[", "\\[").replace("]", "\\]"))
+    assert con.execute("SELECT * FROM t ORDER BY id").rows() == [(*x[:4], bytearray(x[4])) for x in t]
+    assert con.execute("SELECT * FROM w ORDER BY j, k").rows() == w
+
+
+def test_images_are_not_bounded(spark, tmp_path):
+    """More than 256 MB, which one process on the driver used to be held to."""
+    from sedge.sources.image_writer import export
+
+    con, path = Connection(spark), str(tmp_path / "large.db")
+    con.register("n", spark.range(270, numPartitions=20).selectExpr("id", "repeat(chr(CAST(97 + id % 26 AS INT)), 1000000) AS s"), order="id")
+    con.execute_batch("CREATE TABLE t(id INTEGER PRIMARY KEY, s TEXT); INSERT INTO t SELECT id, s FROM n; CREATE INDEX i ON t(substr(s, 1, 1))")
+    export(con, f"file://{path}")
+    m = sqlite3.connect(path)
+    assert m.execute("PRAGMA integrity_check").fetchall() == [("ok",)]
+    want = m.execute("SELECT count(*), sum(length(s)), sum(id * (s = replace(hex(zeroblob(500000)), '0', char(97 + id % 26)))) FROM t").fetchall()
+    m.close()
+    assert want == [(270, 270_000_000, sum(range(270)))]
+    again = Connection(spark)
+    attach(again, f"file://{path}")
+    assert again.execute("SELECT count(*), sum(length(s)), sum(id * (s = replace(hex(zeroblob(500000)), '0', char(97 + id % 26)))) FROM t").rows() == want
