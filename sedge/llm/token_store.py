@@ -17,11 +17,12 @@ come first; of rows that repeat an identifier each has a stream; other columns a
 from __future__ import annotations
 
 import hashlib
+import re
 import sys
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,15 +36,36 @@ from sedge.llm.common import arrow_rows, free, fresh_path, mixed, partitions, wr
 
 #: Ids in a chunk: at least, on average beyond that, at most.
 LEAST, AVERAGE, MOST = 128, 1024, 8192
-_STOPS = frozenset(".,;:!?")
 #: Letters below this (Latin, Greek, Cyrillic) are letters to every version of Unicode in use.
 _SETTLED = "\u0530"
-#: Entries of a Python worker's table of chunks.
+_LETTERS = "".join(c for c in map(chr, range(ord(_SETTLED))) if c.isalpha())
+_MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum())
+#: Pre-tokens of settled letters, ASCII digits and punctuation, and line ends.
+_PIECES = re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[{_LETTERS}]++| ?[0-9]++| ?[{re.escape(_MARKS)}]++|\n")
+_BLANKS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace())
+#: A blank between white space, or a last one behind it: not every blank of such a text is a border.
+_NEAR_BLANK = rf"[{_BLANKS}] (?:[{_BLANKS}]|\z)"
+#: Kinds of bytes: what changes its kind within a chunk begins a pre-token, unless the chunk holds something odd.
+_BLANK, _LETTER, _DIGIT, _MARK, _LINE, _ODD = range(6)
+_KINDS = np.full(256, _ODD, np.uint8)
+for _kind, _some in ((_BLANK, b" "), (_LETTER, "".join(c for c in _LETTERS if c.isascii()).encode()), (_DIGIT, b"0123456789"), (_MARK, _MARKS.replace("'", "").encode()), (_LINE, b"\n")):
+    _KINDS[list(_some)] = _kind
+_SETTLED_LETTERS = np.array([c.isalpha() for c in map(chr, range(0x800))]) & (np.arange(0x800) < ord(_SETTLED))
+#: Entries of a Python worker's table of pre-tokens and chunks.
 CACHE = 900_000
 
 
-#: Ids that the rolling hash spans.
-SPAN = 8
+#: Ids that the rolling hash spans, and hashes that are made at a time.
+SPAN, _BLOCK = 8, 1 << 15
+
+
+_SALT = np.uint64(0x9E3779B97F4A7C15)
+
+
+@lru_cache(1)
+def _gears() -> np.ndarray:
+    """Hashes of ids of two bytes."""
+    return mixed(np.arange(65536, dtype=np.uint64) + _SALT)
 
 
 def boundaries(docs: list[np.ndarray], least: int = LEAST, average: int = AVERAGE, most: int = MOST) -> list[list[int]]:
@@ -51,15 +73,17 @@ def boundaries(docs: list[np.ndarray], least: int = LEAST, average: int = AVERAG
     starts = np.cumsum([SPAN] + [len(d) + SPAN for d in docs])[:-1]
     ends = starts + np.array([len(d) for d in docs], np.int64)
     gear = np.zeros(int(ends[-1]) + SPAN if len(docs) else SPAN, np.uint64)  # zeros between documents: none reaches into the next
-    hashes = mixed(np.concatenate([d.astype(np.uint64) for d in docs]) + np.uint64(0x9E3779B97F4A7C15)) if docs else gear[:0]
-    at = 0
-    for a, b in zip(starts.tolist(), ends.tolist()):
-        gear[a:b] = hashes[at : at + b - a]
-        at += b - a
-    rolling = gear.copy()
-    for i in range(1, SPAN):
-        rolling[i:] += gear[: len(gear) - i] << np.uint64(i * 7)
-    marks = np.flatnonzero(mixed(rolling) % np.uint64(average) == 0) + 1
+    known = _gears() if docs and docs[0].dtype.itemsize == 2 else None
+    for a, b, ids in zip(starts.tolist(), ends.tolist(), docs):
+        gear[a:b] = mixed(ids.astype(np.uint64) + _SALT) if known is None else known[ids]
+    found = []
+    for a in range(0, len(gear), _BLOCK):
+        had = min(a, SPAN)
+        rolling = gear[a - had : a + _BLOCK].copy()
+        for i in (1, 2, 4):  # sums over 2, 4 and SPAN ids
+            rolling[i:] += rolling[:-i] << np.uint64(i * 7)
+        found.append(np.flatnonzero(mixed(rolling[had:]) % np.uint64(average) == 0) + (a + 1))
+    marks = np.concatenate(found)
     out = []
     for first, end in zip(starts.tolist(), ends.tolist()):
         cuts, start = [], first
@@ -109,10 +133,45 @@ def merkle(leaves: list[bytes]) -> bytes:
     return tree.root()
 
 
+def pretokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Texts with no blank next to white space on both sides, cut at every blank and, within chunks of settled letters, ASCII digits,
+    punctuation but apostrophes and single line ends, at every pre-token; and where the pieces of each text begin, and the last end."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset)
+    base, size = int(offsets[0]), int(offsets[-1] - offsets[0])
+    if not size:
+        return pa.array([], pa.string()), np.zeros(len(texts) + 1, np.int64)
+    bounds = offsets.astype(np.int64) - base
+    raw = np.frombuffer(texts.buffers()[2], np.uint8, size, base)
+    kinds = _KINDS[raw]
+    leads = np.flatnonzero((raw >= 0xC2) & (raw < 0xE0))
+    leads = leads[leads + 1 < size]
+    leads = leads[_SETTLED_LETTERS[(raw[leads].astype(np.int64) & 0x1F) << 6 | raw[leads + 1] & 0x3F]]
+    kinds[leads] = kinds[leads + 1] = _LETTER
+    first = kinds == _BLANK  # a chunk begins
+    begins = first.copy()
+    begins[1:] |= (kinds[1:] != kinds[:-1]) & ~first[:-1]
+    first[bounds[:-1][bounds[:-1] < size]] = True
+    begins |= first
+    places = np.flatnonzero(begins)
+    odd = kinds == _ODD
+    lines = np.flatnonzero(kinds[1:] == _LINE) + 1
+    odd[lines] = (kinds[lines - 1] == _LINE) | (kinds[lines - 1] == _BLANK)
+    odd = np.flatnonzero(odd)
+    if len(odd):
+        head = first[places]
+        whole = np.zeros(int(head.sum()), bool)
+        whole[np.searchsorted(places[head], odd, "right") - 1] = True
+        places = places[head | ~whole[np.cumsum(head) - 1]]
+    ends = np.append(places, size)
+    found = pa.StringArray.from_buffers(len(places), pa.py_buffer((ends + base).astype(np.int32)), texts.buffers()[2])
+    return found, np.searchsorted(places, bounds)
+
+
 class LibraryEncoder(dict):
-    """The tokenizers library, asked once for each chunk between blanks where the vocabulary's own rules allow it: a table of
-    chunks and their little-endian ids. Chunks of words, stops and line ends are put together from those, which are pre-tokens
-    each, and so go to the library's model alone; whatever else a chunk holds goes to the library whole."""
+    """The tokenizers library, asked once for each pre-token where the vocabulary's own rules allow it: a table of pieces of texts
+    and their little-endian ids. The texts of a batch are cut and their pieces told apart as arrays, so that the table is asked once
+    for each distinct piece. Pre-tokens of settled characters go to the library's model alone; whatever else a piece holds goes to
+    the library whole."""
 
     def __init__(self, path: str, bound: int = CACHE):
         super().__init__()
@@ -147,39 +206,47 @@ class LibraryEncoder(dict):
     def __missing__(self, chunk: str) -> bytes:
         core = chunk[1:] if chunk[0] == " " else chunk
         if core.isalpha() and (core.isascii() or max(core) < _SETTLED):
-            raw = chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(self.wide)
-            raw = self.blank + raw[1:] if raw[0] == " " else raw
-            found = array(self.code, [t.id for t in self.model(raw)])
-            ids = found.tobytes() if sys.byteorder == "little" else np.array(found, self.dtype).tobytes()
-        elif core in _STOPS and core == chunk:
-            ids = self._whole(chunk)
+            ids = self._one(chunk)
         else:
-            pieces = self._pieces(chunk)
-            ids = b"".join([self[p] for p in pieces]) if pieces else self._whole(chunk)
+            pieces = _PIECES.findall(chunk)
+            if "\n\n" in chunk or sum(map(len, pieces)) < len(chunk):
+                ids = self._whole(chunk)
+            else:
+                ids = self._one(chunk) if len(pieces) == 1 else b"".join(map(self.__getitem__, pieces))
         if len(self) < self.bound and len(chunk) <= 64:
             self[chunk] = ids
         return ids
 
-    def _pieces(self, chunk: str) -> list[str] | None:
-        """A chunk of words, each with a stop or not, on lines of their own, as words, stops and line ends."""
-        if chunk[-1] not in _STOPS and "\n" not in chunk:
-            return None
-        out: list[str] = []
-        for line in chunk.split("\n"):
-            if out:
-                out.append("\n")
-            core = line[:-1] if line[-1:] in _STOPS else line
-            if not (core.isalpha() or not out and core[:1] == " " and core[1:].isalpha()) or not core.isascii() and max(core) >= _SETTLED:
-                return None
-            out.append(core)
-            if core is not line:
-                out.append(line[-1])
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian ids of each text; one that may hold a special token is left to the library whole."""
-        known = self.__getitem__
-        return [self._whole(t) if not self.by_chunk or any(s in t for s in self.special) else b"".join(map(known, cut(t))) if t else b"" for t in texts]
+    def _one(self, pretoken: str) -> bytes:
+        raw = pretoken if pretoken.isascii() else pretoken.encode().decode("latin-1").translate(self.wide)
+        raw = self.blank + raw[1:] if raw[0] == " " else raw
+        found = array(self.code, [t.id for t in self.model(raw)])
+        return found.tobytes() if sys.byteorder == "little" else np.array(found, self.dtype).tobytes()
+
+    def _apart(self, text: str) -> bytes:
+        """Ids of a text that is not cut at each blank; one that may hold a special token is left to the library whole."""
+        return self._whole(text) if not self.by_chunk or any(s in text for s in self.special) else b"".join(map(self.__getitem__, cut(text)))
+
+    def encode(self, texts: list[str] | pa.Array, end: bytes = b"") -> list[bytes]:
+        """Little-endian ids of each text, with end behind them."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        apart = pc.match_substring_regex(texts, _NEAR_BLANK) if self.by_chunk else pa.repeat(True, len(texts))
+        for special in self.special:
+            apart = pc.or_(apart, pc.match_substring(texts, special))
+        alone = np.flatnonzero(apart.to_numpy(zero_copy_only=False)).tolist()
+        pieces, starts = pretokens(pc.if_else(apart, "", texts) if alone else texts)
+        coded = pieces.dictionary_encode()
+        known = list(map(self.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False).tolist()))
+        last = np.full(len(texts), len(known))
+        known.append(end)
+        for i in alone:
+            last[i] = len(known)
+            known.append(self._apart(texts[i].as_py()) + end)
+        ids = pa.array(known, pa.large_binary()).take(pa.array(np.insert(coded.indices.to_numpy().astype(np.int64), starts[1:], last)))
+        _, offsets, data = ids.buffers()
+        bounds = np.frombuffer(offsets, np.int64, len(ids) + 1)[starts + np.arange(len(starts))].tolist()
+        data = memoryview(data or b"")
+        return [data[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
 
 
 @lru_cache(2)
@@ -188,8 +255,8 @@ def encoder(path: str) -> LibraryEncoder:
 
 
 _STAGED = "doc_id long, n_tokens long, root binary, refs array<struct<sha: binary, n: int>>, fresh array<struct<sha: binary, ids: binary>>"
-#: Documents that are encoded together.
-TOGETHER = 256
+#: Documents and bytes of text that are encoded together, but for a longer text.
+TOGETHER, TOGETHER_BYTES = 4096, 4 << 20
 
 
 def _lists(counts: list[int], **columns: pa.Array) -> pa.Array:
@@ -198,6 +265,18 @@ def _lists(counts: list[int], **columns: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(list(columns.values()), names=list(columns)))
 
 
+def _together(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch that are encoded at once."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        had = int(sizes[start - 1]) if start else 0
+        n = int(np.searchsorted(sizes, had + TOGETHER_BYTES, "right")) - start
+        n = min(max(n, 1), TOGETHER, batch.num_rows - start)
+        yield batch.slice(start, n)
+        start += n
+
+
 def _stage(path: str, end_id: int, sizes: tuple[int, int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
@@ -205,9 +284,9 @@ def _stage(path: str, end_id: int, sizes: tuple[int, int, int]):
         sent: set[bytes] = set()  # addresses that this task has sent; forgotten when many
         sha256 = hashlib.sha256
         for whole in batches:
-            for start in range(0, whole.num_rows, TOGETHER):
-                batch = whole.slice(start, TOGETHER)
-                streams = [raw + end for raw in coder.encode([t or "" for t in batch.column(1).to_pylist()])]
+            whole = whole.set_column(1, "text", whole.column(1).cast(pa.string()))  # sessions may use large types, and a column of nulls has none
+            for batch in _together(whole):
+                streams = coder.encode(pc.fill_null(batch.column(1), ""), end)
                 ids = [np.frombuffer(raw, coder.dtype) for raw in streams]
                 roots, of_doc, lengths, new_of_doc = [], [], [], []
                 shas, new_shas, new_ids = [], [], []

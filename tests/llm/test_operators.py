@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -556,6 +557,49 @@ def test_library_encoder_on_random_text():
         assert [np.frombuffer(x, own.dtype).tolist() for x in own.encode(some)] == [lib.encode(x, add_special_tokens=False).ids for x in some]
 
 
+def test_library_encoder_asks_once_for_each_piece_of_a_batch():
+    lib, own = library(), token_store.LibraryEncoder(bpe.default_path(), bound=0)
+    asked, model, whole = [], own.model, own._whole
+    own.model = lambda x: asked.append(x) or model(x)
+    own._whole = lambda x: asked.append(x) or whole(x)
+    text = "Some words, other words.\nSome wörter### of слова!?$$$ in 12x rows a9"
+    got = own.encode([text] * 40)
+    assert [np.frombuffer(x, own.dtype).tolist() for x in got] == [lib.encode(text, add_special_tokens=False).ids] * 40
+    assert max(collections.Counter(asked).values()) == 1
+    assert not [x for x in asked if any(c.isalpha() for c in x.lstrip(own.blank)) and any(c in "#$,.!?\n" for c in x)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_library_encoder_on_borders_of_every_kind(seed):
+    lib, own = library(), token_store.LibraryEncoder(bpe.default_path(), bound=40)
+    r = random.Random(seed)
+    near = [chr(c) for c in (0, 9, 11, 13, 0x1C, 0x1F, 0x7F, 0x80, 0x85, 0xA0, 0xAA, 0xB2, 0xD7, 0xDF, 0x300, 0x378, 0x3A9, 0x483, 0x52F, 0x530, 0x531, 0x660, 0x7FF, 0x800, 0x1680, 0x2009, 0x2028, 0x3000, 0xFFFD, 0x1F980)]
+    parts = [*near, *" \n'" * 4, "  ", " \n", "\n ", "a", "é", "ж", "7", "_", "'s", "'ll", "'T", "don't", "#$", "<|endoftext|>", "<|endof", "word", " word"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 9))) for _ in range(4000)]
+    want = [lib.encode(x, add_special_tokens=False).ids + [0] for x in texts]
+    column, end = pa.array(["before", *texts, "behind"]).slice(1, len(texts)), np.array([0], own.dtype).tobytes()
+    for size in (1, 7, 1000):
+        some = range(0, len(texts) if size > 1 else 300, size)
+        got = [x for a in some for x in own.encode(column.slice(a, size), end)]
+        assert [np.frombuffer(x, own.dtype).tolist() for x in got] == want[: len(got)]
+    assert own.encode([]) == [] and own.encode([""], end) == [end]
+
+
+def test_texts_are_encoded_together_by_their_bytes():
+    sizes = [0, 5, token_store.TOGETHER_BYTES + 1, 3, None, token_store.TOGETHER_BYTES - 3, 1]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(7)), "text": [n if n is None else "x" * n for n in sizes]})
+    assert [b.column(0).to_pylist() for b in token_store._together(batch)] == [[0, 1], [2], [3, 4, 5], [6]]
+    assert not list(token_store._together(batch.slice(0, 0)))
+
+
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string(), pa.null()])
+def test_stage_takes_any_kind_of_text_column(kind):
+    texts = [None, None, None] if kind == pa.null() else ["two words", None, "a  b"]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(texts, kind)], names=["doc_id", "text"])
+    (out,) = token_store._stage(bpe.default_path(), 0, (4, 8, 16))(iter([batch]))
+    assert out.column(1).to_pylist() == [len(library().encode(t or "", add_special_tokens=False).ids) + 1 for t in texts]
+
+
 def test_joined_crc():
     a, b = b"hello", bytes(range(256)) * 2000
     assert token_store.joined_crc(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
